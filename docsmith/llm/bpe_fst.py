@@ -25,7 +25,7 @@ import numpy as np
 
 CHUNK = 256
 #: The table is dropped and grown anew beyond this many states, which bounds a worker's memory.
-MAX_STATES = 250_000
+MAX_STATES = 160_000
 ROOT, IDLE = 0, 1
 
 
