@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sorted_groups
 from .graph import connected_components
 
 THRESHOLD = 0.93
@@ -124,26 +124,6 @@ def _refine(y: np.ndarray, lists: np.ndarray, both: np.ndarray, size: int, rows:
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The groups of batches that are sorted by a column."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-        if held and held[-1].column(key)[-1].as_py() != codes[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _cells(planes: int, cell: int, seed: int):
     """Deal each vector to a cell of each tree; a label with n vectors has about n / cell cells a tree."""
 
@@ -163,7 +143,7 @@ def _cells(planes: int, cell: int, seed: int):
                     rng = np.random.default_rng([seed, tree, int(dim)])
                     signs = (x @ rng.standard_normal((int(dim), 40))) > 0
                     for row, bits, d in zip(rows, signs, depth[rows]):
-                        codes[row] = f"{seed}.{tree}|{label[row]}|{dim}|" + "".join("01"[b] for b in bits[: min(d, 40)])
+                        codes[row] = f"{seed}.{tree}|{label[row]}|{dim}|" + "".join("01"[int(b)] for b in bits[: min(d, 40)])
                 yield pa.RecordBatch.from_arrays([pa.array(codes, pa.string()), batch.column("id"), vectors], names=["cell", "id", "vec"])
 
     return run
@@ -171,7 +151,7 @@ def _cells(planes: int, cell: int, seed: int):
 
 def _descend_cells(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches, "cell"):
+        for group in sorted_groups(batches, "cell"):
             ids, x = group.column("id").to_numpy(), _matrix(group.column("vec"))
             order = np.argsort(ids, kind="stable")  # the order of arrival must not matter
             ids, x = ids[order], x[order]
@@ -193,7 +173,7 @@ def _count_blocks(threshold: float):
     """Weighted links of each vector within a pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches, "pair"):
+        for group in sorted_groups(batches, "pair"):
             ids, side, weight, x = group.column("id").to_numpy(), group.column("side").to_numpy(), group.column("weight").to_numpy(), _matrix(group.column("vec"))
             n = np.zeros(len(ids), np.int64)
             # side 0 and 1 are the two blocks; 2 is a block with itself

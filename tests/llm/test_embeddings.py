@@ -8,7 +8,7 @@ from .test_simhash import components
 
 
 def test_links_and_components_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELL", 64)
+    monkeypatch.setattr(embeddings, "CELL", 32)
     rng = np.random.default_rng(4)
     rows = []
     for label in (0, 1, 2):
