@@ -67,8 +67,11 @@ def test_equals_the_library_with_the_pieces_as_a_unigram_model():
     # the library adds scores in single precision: texts without unknown characters and runs of blanks, which score a billion below
     some = [t for t in texts() if "  " not in t and not set(t) & set("\n\t\x00😀𝔘𝔫𝔦") and t[:1] != " " and "▁" not in t and len(t) < 300]
     ids, at = a.encode(pa.array(some))
-    same = sum(ids[at[i] : at[i + 1]].tolist() == library.encode(t) for i, t in enumerate(some))
-    assert same == len(some) > 20
+    pairs = [(ids[at[i] : at[i + 1]].tolist(), library.encode(t)) for i, t in enumerate(some)]
+    assert sum(x == y for x, y in pairs) >= 0.9 * len(pairs) > 20
+    # where they differ, the library's single precision has lost a few points of score
+    score = lambda x: sum(library.get_score(i) for i in x)
+    assert all(score(x) >= score(y) for x, y in pairs)
 
 
 def test_decoding_is_the_library_s():
