@@ -20,7 +20,8 @@ be such a segment (the multi-match-aware selection of the published Pass-Join me
 Copies of a line are one line from the start, so a line on a third of all pages is one row a
 task.  Edge cases: a null text has no lines; rows repeated in full count as one
 document; the newline after a removed line goes with it; an empty table gives an
-empty result.  Columns other than id and text are not carried over.
+empty result.  Columns that
+are not asked for are not carried over.
 """
 
 from __future__ import annotations
@@ -264,7 +265,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = set(removed)
                 text = "\n".join(x for k, x in enumerate(lines) if k not in out)
             kept.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_lines", "n_removed", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "rest", "n_lines", "n_removed", "text"])
 
 
 def line_links(rows: DataFrame, lines: DataFrame, threshold: int, min_chars: int, block: int) -> DataFrame:
@@ -287,16 +288,18 @@ def line_links(rows: DataFrame, lines: DataFrame, threshold: int, min_chars: int
     return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_verify(threshold), "u long, v long").distinct()
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """(id, n_lines, n_removed, text): every text without the lines that stand earlier."""
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_lines, n_removed, text, and the columns named to be carried): every text without the lines that stand earlier."""
     if min_chars <= 2 * threshold:
         raise ValueError("min_chars must be above twice the threshold, so that each segment has characters")
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rest = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(0)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    # the texts are dealt once; both joins below find them where they are
     rows = rows.withColumn("rid", F.xxhash64("id", "text")).repartition(n, "rid").persist(StorageLevel.DISK_ONLY)
     kind = df.schema[id_col].dataType.simpleString()
-    lines = materialise(rows.mapInArrow(_line_rows(min_chars), f"id {kind}, rid long, line int, h long"), "line-rows")
+    lines = materialise(rows.select("id", "text", "rid").mapInArrow(_line_rows(min_chars), f"id {kind}, rid long, line int, h long"), "line-rows")
     components = materialise(connected_components(line_links(rows, lines, threshold, min_chars, block)), "components")
     own = lines.groupBy("h").agg(F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("n"))
     own = own.join(components.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -305,5 +308,6 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = own.join(several, "root").select("h", "least")
     removed = lines.join(own, "h").filter(~F.struct("id", "rid", "line").eqNullSafe(F.col("least")))
     removed = removed.groupBy("rid").agg(F.collect_set("line").alias("removed"))
-    out = rows.join(removed.hint("shuffle_hash"), "rid", "left").select("id", "text", "removed")
-    return out.mapInArrow(_drop, f"id {kind}, n_lines long, n_removed long, text string").withColumnRenamed("id", id_col)
+    out = rows.join(removed.hint("shuffle_hash"), "rid", "left").select("id", "rest", "text", "removed")
+    out = out.mapInArrow(_drop, f"id {kind}, rest {rows.schema['rest'].dataType.simpleString()}, n_lines long, n_removed long, text string")
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.col("text").alias(text_col), *(F.col(f"rest.c{k}").alias(c) for k, c in enumerate(carry)))

@@ -242,26 +242,42 @@ def _score_rows(posterior: np.ndarray, weights: np.ndarray, bias: float, cutoff:
     return run
 
 
-def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cutoff: float = CUTOFF) -> DataFrame:
-    """(id, posterior, score, kept): the labellers' posterior of good, the scorer's, and whether that reaches the cutoff."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """The posterior of each vote pattern, from all of (id, text), and the scorer's weights and bias, from a sample."""
     counts = rows.select("text").mapInArrow(_pattern_rows, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3 ** labellers rows at most
     every = np.array(list(product((-1, 0, 1), repeat=len(LABELLERS))), np.int8)
-    posterior = np.full(len(every), 0.5)
-    # the code of a pattern counts its first labeller lowest
     every = every[np.argsort(_code(every))]
     seen = np.zeros(len(every))
     for r in counts:
         seen[r["pattern"]] = r["n"]
     posterior, _, _ = fit_votes(every, seen)
-    total = int(seen.sum())
-    h = F.xxhash64("id", F.lit(3))
-    share = min(1.0, sample / max(total, 1))
-    limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    drawn = rows.withColumn("h", h).filter(F.col("h") <= F.lit(min(limit, 2**63 - 1))).mapInArrow(_sample_rows(posterior), "h long, target double, columns binary, shares binary")
+    # an even sample by hash: its size does not grow with the table
+    share = min(1.0, sample / max(int(seen.sum()), 1))
+    limit = min(int(-(2**63) + share * 2**64), 2**63 - 1)
+    drawn = rows.withColumn("h", F.xxhash64("id", F.lit(3))).filter(F.col("h") <= F.lit(limit)).mapInArrow(_sample_rows(posterior), "h long, target double, columns binary, shares binary")
     # twice the expected size at most, least hashes first
     drawn = sorted(drawn.orderBy("h").limit(2 * sample).collect(), key=lambda r: (r["h"], r["columns"], r["shares"]))
     weights, bias = fit_scorer([(np.frombuffer(r["columns"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in drawn], np.array([r["target"] for r in drawn]))
-    kind = df.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(_score_rows(posterior, weights, bias, cutoff), f"id {kind}, posterior double, score double, kept boolean")
+    return posterior, weights, bias
+
+
+def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cutoff: float = CUTOFF) -> DataFrame:
+    """(id, posterior, score, kept): the labellers' posterior of good, the scorer's, and whether that reaches the cutoff."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(_score_rows(*fit(rows, sample), cutoff), f"id {df.schema[id_col].dataType.simpleString()}, posterior double, score double, kept boolean")
     return scored.withColumnRenamed("id", id_col)
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows, with all their columns, that ``classify`` keeps."""
+    posterior, weights, bias = fit(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), sample)
+    score = _score_rows(posterior, weights, bias, cutoff)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col).cast(pa.string())], names=["id", "text"])
+            kept = [p.column("kept") for p in score(iter([texts]))]
+            if kept:
+                yield batch.filter(pa.chunked_array(kept).combine_chunks())
+
+    return df.mapInArrow(run, df.schema)

@@ -242,30 +242,32 @@ def _remove(length: int):
             offsets = at - np.concatenate([[0], np.cumsum(gone)])[at]
             array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())])
             lists = [pa.ListArray.from_arrays(pa.array(spans), pa.array(x - at[row])) for x in (start, end)]
-            columns = [part.column("id"), pa.array(np.diff(at)), *lists, array.cast(pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "starts", "ends", "kept"]))
-        schema = pa.schema([("id", texts.schema.field("id").type), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
+            columns = [part.column("id"), part.column("rest"), pa.array(np.diff(at)), *lists, array.cast(pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["id", "rest", "n_bytes", "starts", "ends", "kept"]))
+        schema = pa.schema([("id", texts.schema.field("id").type), ("rest", texts.schema.field("rest").type), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
         return pa.Table.from_batches(out, schema)
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, starts, ends, kept): the removed spans of each text and the bytes that stay.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, starts, ends, kept, and the columns named to be carried): the removed spans of each text and the bytes that stay.
 
     Batches and shards are as many as ``spark.sql.shuffle.partitions``, which should
-    let a batch of texts, and the hashes of a batch or shard, fit a task.  Columns
-    other than id and text are not carried over.
+    let a batch of texts, and the hashes of a batch or shard, fit a task.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rest = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(0)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     # with a table that is read again for each of the three passes, one shuffle of texts does
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "batch").persist(StorageLevel.DISK_ONLY)
-    entries = rows.groupBy("batch").applyInArrow(_run_entries(length, n), ENTRY)
+    texts = rows.select("batch", "text")
+    entries = texts.groupBy("batch").applyInArrow(_run_entries(length, n), ENTRY)
     flags = materialise(entries.groupBy("shard").applyInArrow(_index(1, REPEATED | CONTESTED), FLAG), "runs")
-    windows = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_window_entries(length, n), ENTRY)
+    windows = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_window_entries(length, n), ENTRY)
     flags = flags.unionByName(materialise(windows.groupBy("shard").applyInArrow(_index(2, REPEATED), FLAG), "windows"))
     kind = df.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length), f"id {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"id {kind}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, starts array<long>, ends array<long>, kept binary"
+    out = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length), schema)
+    return out.select(F.col("id").alias(id_col), "n_bytes", "starts", "ends", "kept", *(F.col(f"rest.c{k}").alias(c) for k, c in enumerate(carry)))
