@@ -70,6 +70,33 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         row = end
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text is compressed, for a shuffle: about half the bytes that the shuffle's own codec leaves."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        raw = [squeeze(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        at = batch.schema.get_field_index("text")
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(raw, pa.binary()), *batch.columns[at + 1 :]], names=batch.schema.names)
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows with their text as it was."""
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    at = batch.schema.get_field_index("text")
+    texts = pa.array([expand(t) for t in batch.column("text").to_pylist()], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+
+def pack_texts(df: DataFrame) -> DataFrame:
+    """A table with a column ``text``, that column compressed."""
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(packed, fields)
+
+
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of the ragged pieces values[at[i]:at[i + 1]]."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

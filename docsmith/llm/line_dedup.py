@@ -34,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ragged, slices, sorted_groups
+from .common import materialise, pack_texts, ragged, slices, sorted_groups, unpacked
 from .edit_distance import within
 from .family import CONTESTED, Family, batch_entries
 from .graph import connected_components
@@ -98,10 +98,15 @@ def keys_of(lines: Lines, chosen: np.ndarray, threshold: int) -> tuple[np.ndarra
     return (np.concatenate(keys), np.concatenate(subs), np.concatenate(marks)) if keys else (none, none, none.astype(np.uint8))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, 512):
+        yield from slices(unpacked(batch.slice(k, 512)), "text", SLICE)
+
+
 def _line_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in _parts(batch):
                 lines = Lines(part.column("text").to_pylist())
                 long = np.flatnonzero(lines.size >= min_chars)
                 own = lines.hashes(lines.start[long], lines.size[long])
@@ -122,7 +127,7 @@ def _segment_rows(min_chars: int, threshold: int, shards: int):
             yield from _rows(0, shards, *batch_entries(key, sub, mark)).to_batches()
 
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in _parts(batch):
                 lines = Lines(part.column("text").to_pylist())
                 long = np.flatnonzero(lines.size >= min_chars)
                 _, first = np.unique(lines.hashes(lines.start[long], lines.size[long]), return_index=True)
@@ -158,9 +163,9 @@ def _met(table: pa.Table) -> pa.Table:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, line) for the wanted line numbers of each text."""
-    for batch in batches:
+    for part in (p for batch in batches for p in _parts(batch)):
         hashes, lines = [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+        for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
             own = text.split("\n")
             for w in wanted:
                 hashes.append(w["h"])
@@ -255,7 +260,7 @@ def _verify(threshold: int):
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (p for b in batches for p in _parts(b)):
         kept, n, gone = [], [], []
         for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
             lines = text.split("\n")
@@ -272,7 +277,7 @@ def line_links(rows: DataFrame, lines: DataFrame, threshold: int, min_chars: int
     """(u, v): links that span the classes of the distinct lines (their hashes)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = rows.select("text").mapInArrow(_segment_rows(min_chars, threshold, n), ENTRY)
-    met = materialise(entries.groupBy("shard").applyInArrow(_met, "key long, h long, n long"), "met")
+    met = materialise(entries.repartition(n, "shard").groupBy("shard").applyInArrow(_met, "key long, h long, n long"), "met")
     # a line's text comes from its first document
     first = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("id", "rid", "line")).alias("x"))
     wanted = first.groupBy(F.col("x.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("x.line").alias("line"), "h")).alias("wanted"))
@@ -297,7 +302,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(0)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     # the texts are dealt once; both joins below find them where they are
-    rows = rows.withColumn("rid", F.xxhash64("id", "text")).repartition(n, "rid").persist(StorageLevel.DISK_ONLY)
+    rows = pack_texts(rows.withColumn("rid", F.xxhash64("id", "text"))).repartition(n, "rid").persist(StorageLevel.DISK_ONLY)
     kind = df.schema[id_col].dataType.simpleString()
     lines = materialise(rows.select("id", "text", "rid").mapInArrow(_line_rows(min_chars), f"id {kind}, rid long, line int, h long"), "line-rows")
     components = materialise(connected_components(line_links(rows, lines, threshold, min_chars, block)), "components")
