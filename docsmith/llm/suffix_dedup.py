@@ -35,7 +35,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, materialise, ragged, slices, sums
+from .common import flat_texts, materialise, pack_texts, ragged, slices, unpacked
 from .family import CONTESTED, FIRST, REPEATED, Family, batch_entries, pair_index
 
 LENGTH, GRAM = 200, 32
@@ -90,7 +90,8 @@ class Runs:
         starts = np.ones(len(window), bool)
         starts[1:] = (value[1:] != value[:-1]) | (window[1:] != window[:-1] + 1)
         head = np.flatnonzero(starts)
-        self.first, self.key = window[head], value[head]
+        # least hashes are small numbers; shards are ranges of evenly spread ones
+        self.first, self.key = window[head], mix(value[head])
         self.size = np.diff(np.concatenate([head, [len(window)]]))
         # the least gram at the start of a window that is not the run's last: it comes again later in the run
         again = grams[window] == value
@@ -124,10 +125,12 @@ class Runs:
 
 
 def _parts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in table.combine_chunks().to_batches():
-        for part in slices(batch, "text", SLICE):
-            data, at = flat_texts(part.column("text"))
-            yield part, data, at
+    for whole in table.combine_chunks().to_batches():
+        # the compressed texts of a batch fit a task; they are expanded a few at a time
+        for k in range(0, whole.num_rows, 512):
+            for part in slices(unpacked(whole.slice(k, 512)), "text", SLICE):
+                data, at = flat_texts(part.column("text"))
+                yield part, data, at
 
 
 ENTRY = "shard int, batch int, key binary, sub binary, mark binary"
@@ -261,12 +264,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(0)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     # with a table that is read again for each of the three passes, one shuffle of texts does
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "batch").persist(StorageLevel.DISK_ONLY)
+    rows = pack_texts(rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))).repartition(n, "batch").persist(StorageLevel.DISK_ONLY)
     texts = rows.select("batch", "text")
     entries = texts.groupBy("batch").applyInArrow(_run_entries(length, n), ENTRY)
-    flags = materialise(entries.groupBy("shard").applyInArrow(_index(1, REPEATED | CONTESTED), FLAG), "runs")
+    flags = materialise(entries.repartition(n, "shard").groupBy("shard").applyInArrow(_index(1, REPEATED | CONTESTED), FLAG), "runs")
     windows = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_window_entries(length, n), ENTRY)
-    flags = flags.unionByName(materialise(windows.groupBy("shard").applyInArrow(_index(2, REPEATED), FLAG), "windows"))
+    flags = flags.unionByName(materialise(windows.repartition(n, "shard").groupBy("shard").applyInArrow(_index(2, REPEATED), FLAG), "windows"))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, starts array<long>, ends array<long>, kept binary"
     out = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length), schema)
