@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Work inside a task goes through about this many text bytes at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +43,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that the table does not have yet."""
-    taken, name = {c.lower() for c in df.columns}, base
-    while name.lower() in taken:
-        name += "_"
-    return name
+def release() -> None:
+    """Give freed memory back to the system: a reused worker would keep the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def flat_texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,42 +28,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, ragged, slices
+from .common import flat_texts, ragged, release, slices
 from .suffix_dedup import LETTERS, mix, powers
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 
 
-class Automaton:
-    """The pieces of a model file, as an automaton over bytes in which a blank is the byte 32."""
+class Spelling:
+    """What the ids of a model file stand for; a blank is the byte 32."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        self.size = n
-        self.unknown = model.unk_id()
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte_ids = np.full(256, -1, np.int64)
-        child: dict[tuple[int, int], int] = {}
-        depth, piece, score = [0], [-1], [0.0]
-        edges: list[tuple[int, int, int]] = []
         spelling: list[bytes] = []
-        worst = 0.0
-        for i in range(n):
+        for i in range(model.get_piece_size()):
             name = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(name[3:5], 16)] = i
                 spelling.append(bytes([int(name[3:5], 16)]))
+            elif model.is_unknown(i):
+                spelling.append(" ⁇ ".encode())
+            elif model.is_control(i) or model.is_unused(i):
+                spelling.append(b"")
+            else:
+                spelling.append(name.encode().replace(MARK, b" "))
+        if (self.byte_ids < 0).any():
+            raise ValueError("the model has no byte pieces to fall back to")
+        self.spelling = np.frombuffer(b"".join(spelling), np.uint8)
+        self.spelled = np.fromiter(map(len, spelling), np.int64, len(spelling))
+        self.spelling_at = np.cumsum(self.spelled) - self.spelled
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of ids[at[i]:at[i + 1]], without the blank that starts them."""
+        size = self.spelled[ids]
+        raw = self.spelling[ragged(self.spelling_at[ids], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[at]
+        out = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            out.append(raw[a + (raw[a : a + 1] == b" " and b > a) : b].decode(errors="replace"))
+        return out
+
+
+class Automaton(Spelling):
+    """The pieces of a model file, as an automaton over bytes."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model = self.model
+        child: dict[tuple[int, int], int] = {}
+        depth, piece, score = [0], [-1], [0.0]
+        edges: list[tuple[int, int, int]] = []
+        worst = 0.0
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i) or model.is_control(i) or model.is_unused(i) or model.is_unknown(i):
                 continue
-            if model.is_control(i) or model.is_unused(i) or model.is_unknown(i):
-                spelling.append(" ⁇ ".encode() if model.is_unknown(i) else b"")
-                continue
-            word = name.encode().replace(MARK, b" ")
+            word = model.id_to_piece(i).encode().replace(MARK, b" ")
             if b" " in word.lstrip(b" "):
                 raise ValueError(f"piece {i} goes on after a blank: words cannot be searched on their own")
-            spelling.append(word)
             worst = min(worst, model.get_score(i))
             node = 0
             for b in word:
@@ -76,14 +100,9 @@ class Automaton:
                     edges.append((node, b, to))
                 node = to
             piece[node], score[node] = i, model.get_score(i)
-        if (self.byte_ids < 0).any():
-            raise ValueError("the model has no byte pieces to fall back to")
         self.unknown_score = worst - UNKNOWN_PENALTY
         self.piece, self.score, self.depth = np.array(piece, np.int64), np.array(score), np.array(depth, np.int64)
         self._link(np.array(edges, np.int64))
-        self.spelling = np.frombuffer(b"".join(spelling), np.uint8)
-        self.spelled = np.fromiter(map(len, spelling), np.int64, n)
-        self.spelling_at = np.cumsum(self.spelled) - self.spelled
 
     def _link(self, edges: np.ndarray) -> None:
         """Failure transitions, level by level, and output links: where the next shorter piece that ends here is."""
@@ -203,22 +222,17 @@ class Automaton:
         ends = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[np.searchsorted(start, at, "left")]
 
-    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
-        """The texts of ids[at[i]:at[i + 1]], without the blank that starts them."""
-        size = self.spelled[ids]
-        raw = self.spelling[ragged(self.spelling_at[ids], size)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(size)])[at]
-        out = []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            out.append(raw[a + (raw[a : a + 1] == b" " and b > a) : b].decode(errors="replace"))
-        return out
-
 
 @lru_cache(maxsize=1)
 def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+@lru_cache(maxsize=1)
+def spelling(path: str) -> Spelling:
+    return Spelling(path)
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, ids): the piece ids of each text, beside the text."""
 
@@ -227,6 +241,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for part in slices(batch, "text"):
                 ids, at = automaton(path).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["id", "text", "ids"])
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -237,12 +252,15 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     """The table with the text of its ids in another column; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(ids_col)
-            size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            texts = automaton(path).decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)]))
-            texts = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                column = batch.column(ids_col)
+                size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                texts = spelling(path).decode(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]))
+                texts = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, `{out_col}` string")
