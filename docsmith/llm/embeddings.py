@@ -15,8 +15,8 @@ size (more planes for larger labels); blocks of a component hold ``BLOCK`` vecto
 and each pair of blocks is a group of its own.
 
 Edge cases: a vector that is null, zero or holds a null or non-finite component, or
-whose label is null, links with nothing; vectors of different length do not link;
-an empty table gives an empty result.  Columns other than id, vector and label are
+whose label or id is null, links with nothing and is kept; vectors of different length do not
+link; an id that comes with several vectors has a row for each; an empty table gives an empty result.  Columns other than id, vector and label are
 not carried over.
 """
 
@@ -43,9 +43,9 @@ def _prepared(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units, keys = [], []
-            for label, values in zip(batch.column("label").to_pylist(), batch.column("vec").to_pylist()):
+            for own, label, values in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("vec").to_pylist()):
                 unit = key = None
-                if label is not None and values and None not in values:
+                if own is not None and label is not None and values and None not in values:
                     x = np.array(values, np.float64)
                     if np.isfinite(x).all() and (largest := np.abs(x).max()) > 0:
                         x = x / largest
@@ -70,48 +70,56 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def descend(x: np.ndarray, threshold: float, size: int = LIST, seed: int = 0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) with i < j at the threshold or above, found by NN-descent over the rows of x."""
     n = len(x)
+    none = np.zeros(0, np.int64)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     rng = np.random.default_rng([seed, n])
     y = x.astype(np.float32)
-    size, known = min(size, n - 1), []
-    while True:
-        # random neighbours, and those next along two projections
-        start = [rng.integers(0, n, (n, size))]
-        for _ in range(2):
-            order = np.argsort(y @ rng.standard_normal(y.shape[1]).astype(np.float32), kind="stable")
-            place = np.empty(n, np.int64)
-            place[order] = np.arange(n)
-            start += known + [order[(place + d) % n][:, None] for d in (1, 2, n - 1, n - 2)]
-        lists, best = _keep(y, np.concatenate(start, axis=1), size)
-        for _ in range(rounds):
-            # whom a row lists, and some that list it
-            back = lists.copy()
-            back[lists[:, ::-1].ravel(), np.tile(np.arange(size), n)] = np.repeat(np.arange(n), size)
-            both = np.concatenate([lists, back], axis=1)
-            before = lists
-            lists, best = _refine(y, lists, both, size)
-            if (np.sort(before, axis=1) != np.sort(lists, axis=1)).mean() < 0.005:
-                break
-        if size >= n - 1 or size >= 4 * LIST or (best[:, -1] < threshold).all():
+    size = min(size, n - 1)
+    # random neighbours, and those next along two projections
+    start = [rng.integers(0, n, (n, size))]
+    for _ in range(2):
+        order = np.argsort(y @ rng.standard_normal(y.shape[1]).astype(np.float32), kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        start += [order[(place + d) % n][:, None] for d in (1, 2, n - 1, n - 2)]
+    everyone = np.arange(n)
+    lists, best = _keep(y, everyone, np.concatenate(start, axis=1), size)
+    for _ in range(rounds):
+        both = _both(lists)
+        before = lists
+        lists, best = _refine(y, everyone, lists, both, size)
+        if (np.sort(before, axis=1) != np.sort(lists, axis=1)).mean() < 0.005:
             break
-        size, known = min(2 * size, n - 1), [lists]
-    i, j = np.repeat(np.arange(n), lists.shape[1]), lists.ravel()
-    maybe = (best.ravel() >= threshold - 1e-3) & (i != j)
+    i, j, score = np.repeat(everyone, size), lists.ravel(), best.ravel()
+    # lists that are full of links are enlarged, as far as their neighbours' neighbours go
+    full = np.flatnonzero(best[:, -1] >= threshold)
+    wide = min(4 * size, n - 1)
+    if len(full) and wide > size:
+        more, found = _refine(y, full, lists, _both(lists), wide)
+        i, j, score = np.concatenate([i, np.repeat(full, wide)]), np.concatenate([j, more.ravel()]), np.concatenate([score, found.ravel()])
+    maybe = (score >= threshold - 1e-3) & (i != j)
     pair = np.unique(np.minimum(i, j)[maybe] * n + np.maximum(i, j)[maybe])
     i, j = pair // n, pair % n
     exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
     return i[exact], j[exact]
 
 
-def _keep(y: np.ndarray, candidates: np.ndarray, size: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The best distinct candidates of each row from ``first`` on; itself only where there are too few."""
-    own = first + np.arange(len(candidates))
+def _both(lists: np.ndarray) -> np.ndarray:
+    """Whom each row lists, and as many at most that list it."""
+    n, size = lists.shape
+    back = lists.copy()
+    back[lists[:, ::-1].ravel(), np.tile(np.arange(size), n)] = np.repeat(np.arange(n), size)
+    return np.concatenate([lists, back], axis=1)
+
+
+def _keep(y: np.ndarray, own: np.ndarray, candidates: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best distinct candidates of some rows; a row itself only where there are too few."""
     candidates = np.sort(candidates, axis=1)
     score = np.matmul(y[candidates], y[own][:, :, None])[:, :, 0]
     score[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -2
     score[candidates == own[:, None]] = -2
-    top = np.argpartition(-score, size - 1, axis=1)[:, :size]
+    top = np.argpartition(-score, min(size, score.shape[1]) - 1, axis=1)[:, :size]
     score = np.take_along_axis(score, top, axis=1)
     order = np.argsort(-score, axis=1, kind="stable")
     top, score = np.take_along_axis(top, order, axis=1), np.take_along_axis(score, order, axis=1)
@@ -119,8 +127,12 @@ def _keep(y: np.ndarray, candidates: np.ndarray, size: int, first: int = 0) -> t
     return lists, score
 
 
-def _refine(y: np.ndarray, lists: np.ndarray, both: np.ndarray, size: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    out = [_keep(y, np.concatenate([lists[a : a + rows], both[both[a : a + rows]].reshape(len(both[a : a + rows]), -1)], axis=1), size, a) for a in range(0, len(lists), rows)]
+def _refine(y: np.ndarray, own: np.ndarray, lists: np.ndarray, both: np.ndarray, size: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """New lists of some rows, from their lists and their neighbours' neighbours."""
+    out = []
+    for a in range(0, len(own), rows):
+        part = own[a : a + rows]
+        out.append(_keep(y, part, np.concatenate([lists[part], both[both[part]].reshape(len(part), -1)], axis=1), size))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
@@ -233,8 +245,9 @@ def audit(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, sa
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, least_recall: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each vector."""
     rows = materialise(_prepared(df, id_col, vector_col, label_col), "vectors")
-    copies = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
-    vectors = materialise(copies, "distinct")
+    copies = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
+    # nodes go by their vector, so that an id may come with several vectors
+    vectors = materialise(copies.withColumn("id", F.xxhash64("key")), "distinct")
     links = None
     for attempt in range(3):
         found = graph_links(vectors, threshold, seed=1 + attempt)
@@ -245,9 +258,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         true, seen = audit(vectors, counts, threshold)
         if seen >= least_recall * true:
             break
-    classes = vectors.select("key", "id", "weight").join(components.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
-    classes = classes.select("key", F.coalesce("root", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    # roots are least ids of distinct vectors, and those are least ids of copies
+    classes = vectors.select("key", "id", "least", "weight").join(components.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
+    classes = classes.select("key", "least", F.coalesce("root", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    first = classes.groupBy("root").agg(F.min("least").alias("first"))
+    classes = classes.join(first, "root").select("key", "first", "n_links")
     out = rows.select("id", "key").join(classes, "key", "left")
-    component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.coalesce("first", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

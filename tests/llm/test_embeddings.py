@@ -56,5 +56,12 @@ def test_blocks_of_a_component_count_as_one(spark, monkeypatch):
         assert [got.get(i, 0) for i in range(50)] == want.tolist()
 
 
+def test_null_and_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    df = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 0), (None, a, 0), (3, b, 0), (3, b, 0)], "vec_id long, embedding array<float>, label int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_duplicates(df).collect())
+    assert got == [("1", 1, "1", True), ("1", 2, "1", True), ("2", 1, "1", False), ("3", 2, "1", False), ("3", 2, "1", False), ("None", 0, "None", True)]
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
