@@ -34,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack_texts, ragged, slices, sorted_groups, unpacked
+from .common import materialise, pack_texts, ragged, release, slices, sorted_groups, unpacked
 from .edit_distance import within
 from .family import CONTESTED, Family, batch_entries
 from .graph import connected_components
@@ -138,6 +138,8 @@ def _segment_rows(min_chars: int, threshold: int, shards: int):
                     held, rows = [], 0
         if held:
             yield from out()
+        del held
+        release()
 
     return run
 
@@ -158,6 +160,8 @@ def _met(table: pa.Table) -> pa.Table:
         key, sub, count = key[segment], sub[segment], np.repeat(count, count)[segment]
     else:
         count = np.zeros(0, np.int64)
+    del family, level
+    release()
     return pa.table({"key": pa.array(key.view(np.int64)), "h": pa.array(sub.view(np.int64)), "n": pa.array(count.astype(np.int64))})
 
 
@@ -255,6 +259,7 @@ def _verify(threshold: int):
         if waiting:
             small(waiting)
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        release()
 
     return run
 

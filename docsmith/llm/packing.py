@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_texts, materialise, ragged, slices
+from .common import flat_texts, materialise, ragged, release, slices
 from .pretokens import unspaced
 from .token_counts import machine
 
@@ -135,6 +135,7 @@ def pieces_of(df: DataFrame, path: str, capacity: int, id_col: str, text_col: st
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x["flat"].astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
@@ -162,8 +163,6 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int
                 have = have[(have != j) | (left[j] > 1)]
                 if not len(have):
                     n = int(left[j])
-                    if 2 * j <= capacity and n > 1:
-                        break
                     put(j, n, bins, 0)
                     bins, changed = bins + n, True
                     continue
@@ -224,12 +223,10 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_
     for row in pieces.groupBy("length").count().collect():  # at most one row for each length up to the capacity
         counts[row["length"]] = row["count"]
     table, _ = solve(counts, capacity)
-    begin = np.searchsorted(table[:, 0], np.arange(capacity + 2))
     # ranks restart with each length: one ascending key for both
     step = int(counts.max(initial=0)) + 1
     keys = table[:, 0] * step + table[:, 1]
     firsts, offsets, lows = table[:, 3], table[:, 4], table[:, 1]
-    del begin
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

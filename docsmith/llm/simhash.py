@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, materialise, slices
+from .common import flat_texts, materialise, release, slices
 from .graph import connected_components
 
 BITS, RADIUS, GROUPS = 64, 4, 7
@@ -65,6 +65,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = data.tobytes()
                 found = np.array([fingerprint(raw[a:b], width, seed) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(found.view(np.int64))], names=["__id", "fp"])
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))

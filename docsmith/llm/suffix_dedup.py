@@ -35,7 +35,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, materialise, pack_texts, ragged, slices, unpacked
+from .common import flat_texts, materialise, pack_texts, ragged, release, slices, unpacked
 from .family import CONTESTED, FIRST, REPEATED, Family, batch_entries, pair_index
 
 LENGTH, GRAM = 200, 32
@@ -158,8 +158,12 @@ def _arrays(table: pa.Table, kind: int | None = None) -> tuple[np.ndarray, np.nd
 
 def _run_entries(length: int, shards: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = [Runs(data, at, length) for _, data, at in _parts(table)]
-        join = lambda name: np.concatenate([getattr(r, name) for r in found])
+        found = []
+        for _, data, at in _parts(table):
+            runs = Runs(data, at, length)
+            found.append({"key": runs.key, "sub": runs.sub, "inward": runs.inward})
+        join = lambda name: np.concatenate([r[name] for r in found])
+        release()
         return _rows(key[0].as_py(), shards, *batch_entries(join("key"), join("sub"), join("inward") * np.uint8(CONTESTED)))
 
     return run
@@ -169,6 +173,7 @@ def _index(kind: int, wanted: int):
     """The family of a shard; gives each batch its entries that carry a wanted mark."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         family = Family()
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
         for r in rows:
@@ -206,13 +211,14 @@ def _window_entries(length: int, shards: int):
                         chosen.append(k)
                 hashes.append(runs.windows(np.array(chosen, np.int64))[1])
         hashes = np.concatenate(hashes)
+        release()
         none = np.zeros(len(hashes), np.uint64)
         return _rows(key[0].as_py(), shards, *batch_entries(hashes, none, none.astype(np.uint8)))
 
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, whole_characters: bool):
     def run(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
         own, (windows, _, _) = _arrays(flags, 1), _arrays(flags, 2)
         out = []
@@ -231,6 +237,9 @@ def _remove(length: int):
             np.add.at(depth, np.concatenate([runs.first[whole], place]), 1)
             np.add.at(depth, np.concatenate([runs.first[whole] + runs.size[whole] - 1 + length, place + length]), -1)
             gone = np.cumsum(depth[:-1]) > 0
+            if whole_characters and gone.any():
+                lead = (data & 0xC0) != 0x80
+                gone = np.logical_or.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
             edge = np.zeros(n + 1, bool)
             edge[at] = True
             opens = gone.copy()
@@ -248,16 +257,18 @@ def _remove(length: int):
             columns = [part.column("id"), part.column("rest"), pa.array(np.diff(at)), *lists, array.cast(pa.binary())]
             out.append(pa.RecordBatch.from_arrays(columns, names=["id", "rest", "n_bytes", "starts", "ends", "kept"]))
         schema = pa.schema([("id", texts.schema.field("id").type), ("rest", texts.schema.field("rest").type), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
+        release()
         return pa.Table.from_batches(out, schema)
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """(id, n_bytes, starts, ends, kept, and the columns named to be carried): the removed spans of each text and the bytes that stay.
 
     Batches and shards are as many as ``spark.sql.shuffle.partitions``, which should
-    let a batch of texts, and the hashes of a batch or shard, fit a task.
+    let a batch of texts, and the hashes of a batch or shard, fit a task.  With
+    ``whole_characters``, a character that loses a byte goes whole, so what stays is text.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -272,5 +283,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flags = flags.unionByName(materialise(windows.repartition(n, "shard").groupBy("shard").applyInArrow(_index(2, REPEATED), FLAG), "windows"))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    out = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length), schema)
+    out = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length, whole_characters), schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "starts", "ends", "kept", *(F.col(f"rest.c{k}").alias(c) for k, c in enumerate(carry)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_fst import Transducer
-from .common import flat_texts, slices, sums
+from .common import flat_texts, release, slices, sums
 from .pretokens import spaced
 
 
@@ -75,6 +75,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for part in slices(batch, "__text"):
                 n_bytes, n_tokens = token_counts(part.column("__text"), path)
                 yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["__id", "n_bytes", "n_tokens", "over_limit"])
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
