@@ -20,12 +20,13 @@ before compose, again for all chunks whose entry is known together.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
 CHUNK = 256
 #: The table is dropped and grown anew beyond this many states, which bounds a worker's memory.
-MAX_STATES = 160_000
+MAX_STATES = 250_000
 ROOT, IDLE = 0, 1
 
 
@@ -63,15 +64,15 @@ class Transducer:
             self.rank.setdefault((a, b), rank)
             if t not in self.made:
                 self.left[t], self.right[t], self.made[t], words[t] = a, b, rank, words[a] + words[b]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.right_spine = {t: self._spine(t, self.right) for t in words}
         self.left_spine = {t: self._spine(t, self.left) for t in words}
-        self.child: dict[tuple[int, int], int] = {}
+        self.child: dict[int, int] = {}
         self.token_at = [-1]
         for t, word in words.items():
             node = 0
             for s in word:
-                node = self.child.setdefault((node, s), len(self.token_at))
+                node = self.child.setdefault(node << 9 | s, len(self.token_at))
                 if node == len(self.token_at):
                     self.token_at.append(-1)
             self.token_at[node] = t
@@ -90,7 +91,7 @@ class Transducer:
 
     def apart(self, t: int, u: int) -> bool:
         """Whether token u may follow token t: no merge ever takes a symbol of either side."""
-        known = self.pairs.get((t, u))
+        known = self.pairs.get(t << 20 | u)
         if known is None:
             known = True
             for a, gone_a in self.right_spine[t]:
@@ -99,58 +100,66 @@ class Transducer:
                     # of equal merges the left one comes first
                     if merge is not None and merge < gone_a and merge <= gone_b:
                         known = False
-            if len(self.pairs) > 4_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            self.pairs[t, u] = known
+            self.pairs[t << 20 | u] = known
         return known
 
     def reset(self) -> None:
         """Forget the states."""
-        self.hypotheses: list[tuple] = [((-1, 0, 0),), ()]
+        # a state is three numbers for each hypothesis: token before, node, tokens behind
+        self.hypotheses: list[bytes] = [array("q", (-1, 0, 0)).tobytes(), b""]
         self.number = {h: i for i, h in enumerate(self.hypotheses)}
         self.column = np.full(512, -1, np.int32)
         self.columns = 0
         self.symbol_of: list[int] = []
-        self.table = np.full((1 << 12, 64), -1, np.int32)
-        self.emits = np.zeros((1 << 12, 64), np.int8)
-        self.last = np.full(1 << 12, -1, np.int32)
-        self.table[IDLE] = IDLE
+        # the table holds the state's number and 1, or 0 where a transition is not compiled: pages nobody wrote cost nothing
+        self.table = np.zeros((self.max_states + (1 << 17), 128), np.int32)
+        self.emits = np.zeros(self.table.shape, np.int8)
+        self.last = np.full(len(self.table), -1, np.int32)
+        self.table[IDLE] = IDLE + 1
 
     def _grow(self) -> None:
         rows, width = self.table.shape
         if self.columns > width:
-            self.table = np.pad(self.table, ((0, 0), (0, width)), constant_values=-1)
+            self.table = np.pad(self.table, ((0, 0), (0, width)))
             self.emits = np.pad(self.emits, ((0, 0), (0, width)))
-            self.table[IDLE] = IDLE
+            self.table[IDLE] = IDLE + 1
         if len(self.hypotheses) >= rows:
-            self.table = np.pad(self.table, ((0, rows // 2), (0, 0)), constant_values=-1)
+            self.table = np.pad(self.table, ((0, rows // 2), (0, 0)))
             self.emits = np.pad(self.emits, ((0, rows // 2), (0, 0)))
             self.last = np.pad(self.last, (0, rows // 2), constant_values=-1)
 
     def _compile(self, state: int, symbol: int) -> None:
-        found, won, emitted = [], -1, 0
-        for before, node, behind in self.hypotheses[state]:
-            node = self.child.get((node, symbol))
+        found, won, emitted = array("q"), -1, 0
+        now = array("q")
+        now.frombytes(self.hypotheses[state])
+        for i in range(0, len(now), 3):
+            before, behind = now[i], now[i + 2]
+            node = self.child.get(now[i + 1] << 9 | symbol)
             if node is None:
                 continue
-            found.append((before, node, behind))
+            found.extend((before, node, behind))
             token = self.token_at[node]
             if won < 0 and token >= 0 and (before < 0 or self.apart(before, token)):
                 won, emitted = token, behind + 1
-        to = (*((b, n, d - emitted) for b, n, d in found), (won, 0, 0))
+        for i in range(2, len(found), 3):
+            found[i] -= emitted
+        found.extend((won, 0, 0))
+        to = found.tobytes()
         number = self.number.get(to)
         if number is None:
             number = self.number[to] = len(self.hypotheses)
             self.hypotheses.append(to)
             self._grow()
             self.last[number] = won
-        self.table[state, self.column[symbol]] = number
+        self.table[state, self.column[symbol]] = number + 1
         self.emits[state, self.column[symbol]] = emitted
 
     def _step(self, now: np.ndarray, columns: np.ndarray) -> np.ndarray:
         """The places of the transitions in the table."""
         at = now * self.table.shape[1] + columns
-        missing = np.flatnonzero(self.table.ravel().take(at) < 0)
+        missing = np.flatnonzero(self.table.ravel().take(at) == 0)
         if len(missing):
             symbol = self.symbol_of
             for key in np.unique(now[missing] << 9 | columns[missing]).tolist():
@@ -185,7 +194,7 @@ class Transducer:
             now[fresh[i]] = ROOT
             at = self._step(now, grid[i])
             emitted[i] = self.emits.ravel().take(at)
-            state[i] = now = self.table.ravel().take(at).astype(np.int64)
+            state[i] = now = self.table.ravel().take(at).astype(np.int64) - 1
         # the heads, from what the chunks before compose to
         open_lanes = np.flatnonzero(state[0] == IDLE)
         while len(open_lanes):
@@ -198,7 +207,7 @@ class Transducer:
                     break
                 at = self._step(now, grid[i, active])
                 emitted[i, active] = self.emits.ravel().take(at)
-                state[i, active] = now = self.table.ravel().take(at).astype(np.int64)
+                state[i, active] = now = self.table.ravel().take(at).astype(np.int64) - 1
             open_lanes = np.flatnonzero(state[0] == IDLE)
         return self.last[state.T.ravel()[:n]], emitted.T.ravel()[:n]
 
