@@ -102,6 +102,13 @@ def q_near_dup_groups(spark, sf):
     return dedupe.near_dedup(rel.documents(spark, sf))[1].withColumn("others", F.array_join("others", "|"))
 
 
+@query(W("docs") + ", kept AS (SELECT hash, path FROM docs QUALIFY row_number() OVER (PARTITION BY hash ORDER BY len(string_split(path, '/')), string_split(path, '/')) = 1) SELECT path FROM kept ORDER BY string_split(path, '/') LIMIT 25")
+def q_limit_after_dedup(spark, sf):
+    """The limit is the feature: the first documents by path once copies are out."""
+    unique = dedupe.exact_dedup(rel.documents(spark, sf).select("path", "hash"))
+    return unique.orderBy(dedupe.steps(F.col("path"))).limit(25).select("path")
+
+
 # Text functions
 
 
@@ -242,6 +249,11 @@ def q_taxonomy(spark, sf):
     return taxonomy.design(rel.digests(spark, sf))
 
 
+@query(_LEAVES + " SELECT DISTINCT game_system AS system FROM digests")
+def q_systems_present(spark, sf):
+    return taxonomy.systems_present(rel.digests(spark, sf))
+
+
 @query(_LEAVES + " SELECT game_system AS system, CAST(sum(n) AS BIGINT) AS documents FROM counts GROUP BY 1")
 def q_system_totals(spark, sf):
     return taxonomy.system_totals(rel.digests(spark, sf))
@@ -593,6 +605,11 @@ def q_clean_leaves(spark, sf):
     return modeling.clean_leaves(rel.documents(spark, sf).select(second.alias("leaf")))
 
 
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")
+def q_first_of_each(spark, sf):
+    return modeling.numbered_first(rel.read(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
 # Files
 
 
