@@ -26,7 +26,7 @@ import numpy as np
 
 CHUNK = 256
 #: The table is dropped and grown anew beyond this many states, which bounds a worker's memory.
-MAX_STATES = 250_000
+MAX_STATES = 160_000
 ROOT, IDLE = 0, 1
 
 
@@ -65,8 +65,7 @@ class Transducer:
             if t not in self.made:
                 self.left[t], self.right[t], self.made[t], words[t] = a, b, rank, words[a] + words[b]
         self.pairs: dict[int, bool] = {}
-        self.right_spine = {t: self._spine(t, self.right) for t in words}
-        self.left_spine = {t: self._spine(t, self.left) for t in words}
+        self.spines: dict[tuple[bool, int], list[tuple[int, float]]] = {}
         self.child: dict[int, int] = {}
         self.token_at = [-1]
         for t, word in words.items():
@@ -80,22 +79,26 @@ class Transducer:
         self.length[list(words)] = [len(w) for w in words.values()]
         self.reset()
 
-    def _spine(self, t: int, side: dict[int, int]) -> list[tuple[int, float]]:
+    def spine(self, t: int, right: bool) -> list[tuple[int, float]]:
         """The symbols on that edge of the token while it is built, each with the merge that uses it up."""
-        out, gone = [], float("inf")
-        while True:
-            out.append((t, gone))
-            if t not in self.made:
-                return out
-            gone, t = self.made[t], side[t]
+        known = self.spines.get((right, t))
+        if known is None:
+            side, token, known, gone = self.right if right else self.left, t, [], float("inf")
+            while True:
+                known.append((token, gone))
+                if token not in self.made:
+                    break
+                gone, token = self.made[token], side[token]
+            self.spines[right, t] = known
+        return known
 
     def apart(self, t: int, u: int) -> bool:
         """Whether token u may follow token t: no merge ever takes a symbol of either side."""
         known = self.pairs.get(t << 20 | u)
         if known is None:
             known = True
-            for a, gone_a in self.right_spine[t]:
-                for b, gone_b in self.left_spine[u]:
+            for a, gone_a in self.spine(t, True):
+                for b, gone_b in self.spine(u, False):
                     merge = self.rank.get((a, b))
                     # of equal merges the left one comes first
                     if merge is not None and merge < gone_a and merge <= gone_b:

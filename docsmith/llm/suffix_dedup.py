@@ -47,7 +47,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse, modulo 2 ** 64."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 2 * SLICE)
+        n = max(n, SLICE + (1 << 17))
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             p, k = np.ones(n, np.uint64), 1
             while k < n:
