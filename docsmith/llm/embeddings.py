@@ -4,7 +4,8 @@ Vectors of one label are dealt to cells by random hyperplanes, several times
 over with other planes.  In a cell, NN-descent starts from random neighbours and
 from neighbours along random projections, and refines the lists through
 neighbours of neighbours until hardly any list changes.  A list whose last
-entry still reaches the threshold is saturated: it is enlarged, and the descent goes on.
+entry still reaches the threshold is saturated: it is enlarged, and then compared, in blocks,
+with all of the cell outside its component, so a tight group cannot hide a link to another.
 Links of all cells together give components; saturated lists are then enlarged
 to all of their component, in blocks, so links among a large group are counted and
 not listed.  An audit compares the links of a bounded sample with brute force
@@ -102,7 +103,47 @@ def descend(x: np.ndarray, threshold: float, size: int = LIST, seed: int = 0, ro
     pair = np.unique(np.minimum(i, j)[maybe] * n + np.maximum(i, j)[maybe])
     i, j = pair // n, pair % n
     exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-    return i[exact], j[exact]
+    i, j = i[exact], j[exact]
+    if len(full) and size < n - 1:
+        more, others = _bridges(x, full, _roots(n, i, j), threshold)
+        i, j = np.concatenate([i, np.minimum(more, others)]), np.concatenate([j, np.maximum(more, others)])
+    return i, j
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each row is linked to, directly or in turn."""
+    root = np.arange(n)
+    while True:
+        low, after = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(after, root[i], low)
+        np.minimum.at(after, root[j], low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+def _bridges(x: np.ndarray, full: np.ndarray, root: np.ndarray, threshold: float, rows: int = 512, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the rows ``full`` to other components: one at least for each two components that such a row links."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = full[np.argsort(root[full], kind="stable")]
+    done = np.zeros(len(x), bool)
+    for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        rest = np.flatnonzero((root != root[own[0]]) & ~done)
+        for a in range(0, len(own), rows):
+            part, met = own[a : a + rows], []
+            for b in range(0, len(rest), columns):
+                others = rest[b : b + columns]
+                u, v = np.nonzero(x[part] @ x[others].T >= threshold)
+                hit, first = np.unique(root[others[v]], return_index=True)
+                us.append(part[u[first]])
+                vs.append(others[v[first]])
+                met.append(hit)
+            if met:
+                # components that are linked by now need no more
+                rest = rest[~np.isin(root[rest], np.concatenate(met))]
+        done[own] = True
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _both(lists: np.ndarray) -> np.ndarray:

@@ -65,3 +65,17 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_two_tight_groups_joined_by_weak_links():
+    rng = np.random.default_rng(7)
+    for size in (10, 20, 50, 300):
+        axes = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        centres = [axes[0], 0.944 * axes[0] + np.sqrt(1 - 0.944**2) * axes[1]]
+        x = np.concatenate([c + 0.0005 * rng.standard_normal((size, 32)) for c in centres] + [rng.standard_normal((40, 32))])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= 0.93
+        i, j = embeddings.descend(x, 0.93)
+        assert (i < j).all() and near[i, j].all()
+        true = np.argwhere(np.triu(near, 1)).tolist()
+        assert components(len(x), list(zip(i.tolist(), j.tolist()))) == components(len(x), true)
