@@ -9,10 +9,13 @@ with all of the cell outside its component, so a tight group cannot hide a link
 Links of all cells together give components; saturated lists are then enlarged
 to all of their component, in blocks, so links among a large group are counted and
 not listed.  An audit compares the links of a bounded sample with brute force
-over all rows; while its recall is too low, more planes are drawn.
+over all rows: a vector counts if all its partners are found, however many copies they
+stand for, and vectors with few partners are held to the bar on their own.  While recall is too low,
+more planes are drawn; if ROUNDS draws do not reach it, an error is raised.
 
 Exact copies are one vector with a weight.  Cells hold about ``CELL`` vectors at any input
-size (more planes for larger labels); blocks of a component hold ``BLOCK`` vectors,
+size (more planes for larger labels, and so many trees that a pair at the threshold shares a cell
+of one but for a chance of MISS); blocks of a component hold ``BLOCK`` vectors,
 and each pair of blocks is a group of its own.
 
 Edge cases: a vector that is null, zero or holds a null or non-finite component, or
@@ -24,6 +27,8 @@ not carried over.
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,8 @@ from .graph import connected_components
 
 THRESHOLD = 0.93
 CELL, BLOCK, PLANES, LIST, AUDIT = 2048, 2048, 4, 8, 256
+#: The chance that a pair at the threshold meets in no tree, and how often planes are drawn at most.
+MISS, ROUNDS = 0.01, 10
 
 
 def _prepared(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -177,7 +184,13 @@ def _refine(y: np.ndarray, own: np.ndarray, lists: np.ndarray, both: np.ndarray,
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _cells(planes: int, cell: int, seed: int):
+def trees(depth: int, threshold: float, planes: int = PLANES, miss: float = MISS) -> int:
+    """How many trees of a depth a pair at the threshold needs to share a cell of one, but for a chance of ``miss``."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** depth
+    return planes if together >= 1 else max(planes, math.ceil(math.log(miss) / math.log1p(-together)))
+
+
+def _cells(planes: int, cell: int, seed: int, threshold: float):
     """Deal each vector to a cell of each tree; a label with n vectors has about n / cell cells a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +201,20 @@ def _cells(planes: int, cell: int, seed: int):
             lengths = vectors.value_lengths().to_numpy()
             depth = np.maximum(0, np.ceil(np.log2(batch.column("n").to_numpy() / cell))).astype(np.int64)
             label = batch.column("label").to_pylist()
-            for tree in range(planes):
+            needed = {d: trees(d, threshold, planes) for d in np.unique(depth).tolist()}
+            wanted = np.array([needed[d] for d in depth.tolist()])
+            for tree in range(int(wanted.max())):
                 codes = np.empty(len(ids), object)
-                for dim in np.unique(lengths):
-                    rows = np.flatnonzero(lengths == dim)
+                dealt = np.flatnonzero(wanted > tree)
+                for dim in np.unique(lengths[dealt]):
+                    rows = dealt[lengths[dealt] == dim]
                     x = _matrix(vectors.take(pa.array(rows)))
                     rng = np.random.default_rng([seed, tree, int(dim)])
                     signs = (x @ rng.standard_normal((int(dim), 40))) > 0
                     for row, bits, d in zip(rows, signs, depth[rows]):
                         codes[row] = f"{seed}.{tree}|{label[row]}|{dim}|" + "".join("01"[int(b)] for b in bits[: min(d, 40)])
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.string()), batch.column("id"), vectors], names=["cell", "id", "vec"])
+                take = pa.array(dealt)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[dealt], pa.string()), batch.column("id").take(take), vectors.take(take)], names=["cell", "id", "vec"])
 
     return run
 
@@ -208,7 +225,8 @@ def _descend_cells(threshold: float):
             ids, x = group.column("id").to_numpy(), _matrix(group.column("vec"))
             order = np.argsort(ids, kind="stable")  # the order of arrival must not matter
             ids, x = ids[order], x[order]
-            i, j = descend(x, threshold)
+            # each tree starts from other neighbours, also where a cell is the whole label
+            i, j = descend(x, threshold, seed=zlib.crc32(group.column("cell")[0].as_py().encode()))
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["u", "v"])
 
     return run
@@ -218,7 +236,7 @@ def graph_links(vectors: DataFrame, threshold: float, planes: int = PLANES, cell
     """(u, v): the threshold edges of the neighbour graphs of all cells, over distinct vectors (id, label, vec)."""
     sizes = vectors.groupBy("label").agg(F.count("*").alias("n"))
     rows = vectors.join(sizes, "label").select("id", "label", "n", "vec")
-    dealt = rows.mapInArrow(_cells(planes, cell, seed), "cell string, id long, vec array<double>")
+    dealt = rows.mapInArrow(_cells(planes, cell, seed, threshold), "cell string, id long, vec array<double>")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_descend_cells(threshold), "u long, v long").distinct()
 
 
@@ -256,9 +274,10 @@ def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def audit(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> tuple[int, int]:
-    """Links that brute force finds for a bounded sample of distinct vectors, and how many of them ``links`` (id, n) has.
+def audit(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> list[tuple[int, int]]:
+    """Of a bounded sample of distinct vectors, how many have partners by brute force and for how many ``links`` (id, n) has all of them.
 
+    Two such pairs: vectors with at most LIST distinct partners, and those with more.
     The sample's size is fixed (``sample`` vectors of least hash), and so is what it costs a row.
     """
     queries = vectors.orderBy(F.xxhash64("id")).limit(sample).select("id", "label", "vec").collect()
@@ -274,13 +293,16 @@ def audit(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, sa
             for (name, dim), (own, q) in probes.items():
                 rows = np.flatnonzero((label == name) & (lengths == dim))
                 if len(rows):
-                    near = (q @ _matrix(batch.column("vec").take(pa.array(rows))).T) >= threshold
+                    # what rounding could put on either side of the threshold is not held against the links
+                    near = (q @ _matrix(batch.column("vec").take(pa.array(rows))).T) >= threshold + 1e-12
                     near &= own[:, None] != ids[rows][None, :]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(near @ weight[rows])], names=["id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(near @ weight[rows]), pa.array(near.sum(axis=1))], names=["id", "n", "partners"])
 
-    true = vectors.select("id", "label", "vec", "weight").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
-    both = true.join(links, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return int(both["t"] or 0), int(both["f"] or 0)
+    true = vectors.select("id", "label", "vec", "weight").mapInArrow(run, "id long, n long, partners long").groupBy("id").agg(F.sum("n").alias("true"), F.sum("partners").alias("partners"))
+    # links within a component are counted in full, so a lower count means that a partner is outside
+    whole = (F.coalesce("n", F.lit(0)) >= F.col("true")).cast("int")
+    both = true.filter("partners > 0").join(links, "id", "left").groupBy(F.col("partners") <= LIST).agg(F.count("*").alias("n"), F.sum(whole).alias("whole"))
+    return [(int(r["n"]), int(r["whole"])) for r in both.collect()]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, least_recall: float = 0.98) -> DataFrame:
@@ -290,15 +312,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # nodes go by their vector, so that an id may come with several vectors
     vectors = materialise(copies.withColumn("id", F.xxhash64("key")), "distinct")
     links = None
-    for attempt in range(3):
+    for attempt in range(ROUNDS):
         found = graph_links(vectors, threshold, seed=1 + attempt)
         links = materialise(found if links is None else links.unionByName(found).distinct(), "graph")
         components = materialise(connected_components(links), "components")
         members = vectors.join(components.withColumnRenamed("node", "id"), "id").select("id", "root", "vec", "weight")
         counts = materialise(count_links(members, threshold), "counts")
-        true, seen = audit(vectors, counts, threshold)
-        if seen >= least_recall * true:
+        recall = audit(vectors, counts, threshold)
+        if all(whole >= least_recall * n for n, whole in recall):
             break
+    else:
+        raise RuntimeError(f"after {ROUNDS} draws of planes, (vectors with partners, those with all of them found) in the sample are {recall}: below {least_recall}")
     classes = vectors.select("key", "id", "least", "weight").join(components.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     classes = classes.select("key", "least", F.coalesce("root", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     first = classes.groupBy("root").agg(F.min("least").alias("first"))

@@ -79,3 +79,21 @@ def test_two_tight_groups_joined_by_weak_links():
         assert (i < j).all() and near[i, j].all()
         true = np.argwhere(np.triu(near, 1)).tolist()
         assert components(len(x), list(zip(i.tolist(), j.tolist()))) == components(len(x), true)
+
+
+def test_isolated_pairs_of_a_deep_label_beside_a_large_group(spark, monkeypatch):
+    # cells of 8 in a label of 1,600: as deep as a label of 400,000 has with cells of 2,048
+    monkeypatch.setattr(embeddings.graph_links, "__defaults__", (4, 8, 1))
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((600, 48))
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * side
+    group = rng.standard_normal(48) + 0.02 * rng.standard_normal((400, 48))
+    data = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([x, y, group]))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert np.mean([got[k].component_id == got[600 + k].component_id for k in range(600)]) >= 0.97
+    assert len({got[k].component_id for k in range(1200, 1600)}) == 1
