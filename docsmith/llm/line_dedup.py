@@ -1,8 +1,9 @@
 """Operator 10, line dedup by a segment-partition edit join.
 
-Lines of ``min_chars`` characters or more that are at most ``threshold`` edits apart
+Lines of more than twice ``threshold`` characters that are at most ``threshold`` edits apart
 are linked, with lines linked in turn; of each class of lines the first by (id, line
-number) stays and the others go.  Shorter lines always stay.
+number) stays and the others go.  Shorter lines have no segments; of their exact copies the first stays,
+and blank ones always stay.  Where ``min_chars`` is given, lines below it always stay.
 
 A line is cut into threshold + 1 segments.  If two lines are within the threshold, one
 segment of the shorter occurs unchanged in the other, displaced by no more than
@@ -40,11 +41,12 @@ from .family import CONTESTED, Family, batch_entries
 from .graph import connected_components
 from .suffix_dedup import ENTRY, SLICE, _rows, mix, powers
 
-THRESHOLD, MIN_CHARS, BLOCK = 2, 40, 4096
+THRESHOLD, BLOCK = 2, 4096
 #: A mark: the key is one of the line's own segments.
 SEGMENT = 8
 #: Bits of the parity that an edit can flip.
 FLIPS = 4
+SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
 class Lines:
@@ -66,6 +68,13 @@ class Lines:
         letters = mix(self.points.astype(np.uint64) + np.uint64(0x51ED2701)) | np.uint64(1)
         np.cumsum(letters * up[:n], out=self.sums[1:])
 
+    def chosen(self, least: int, short: bool) -> np.ndarray:
+        """The lines of ``least`` characters or more, and the shorter ones that are not blank if they are asked for."""
+        if not short:
+            return np.flatnonzero(self.size >= least)
+        ink = np.concatenate([[0], np.cumsum(~np.isin(self.points, SPACES))])
+        return np.flatnonzero((self.size >= least) | (ink[self.start + self.size] > ink[self.start]))
+
     def hashes(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix((self.sums[first + size] - self.sums[first]) * self.down[first] + size.astype(np.uint64))
 
@@ -103,12 +112,12 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield from slices(unpacked(batch.slice(k, 512)), "text", SLICE)
 
 
-def _line_rows(min_chars: int):
+def _line_rows(min_chars: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 lines = Lines(part.column("text").to_pylist())
-                long = np.flatnonzero(lines.size >= min_chars)
+                long = lines.chosen(min_chars, short)
                 own = lines.hashes(lines.start[long], lines.size[long])
                 take = pa.array(lines.row[long])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("rid").take(take), pa.array(lines.number[long].astype(np.int32)), pa.array(own.view(np.int64))], names=["id", "rid", "line", "h"])
@@ -298,8 +307,11 @@ def line_links(rows: DataFrame, lines: DataFrame, threshold: int, min_chars: int
     return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_verify(threshold), "u long, v long").distinct()
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int | None = None, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_lines, n_removed, text, and the columns named to be carried): every text without the lines that stand earlier."""
+    short = min_chars is None
+    if short:
+        min_chars = 2 * threshold + 1
     if min_chars <= 2 * threshold:
         raise ValueError("min_chars must be above twice the threshold, so that each segment has characters")
     spark = df.sparkSession
@@ -309,7 +321,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the texts are dealt once; both joins below find them where they are
     rows = pack_texts(rows.withColumn("rid", F.xxhash64("id", "text"))).repartition(n, "rid").persist(StorageLevel.DISK_ONLY)
     kind = df.schema[id_col].dataType.simpleString()
-    lines = materialise(rows.select("id", "text", "rid").mapInArrow(_line_rows(min_chars), f"id {kind}, rid long, line int, h long"), "line-rows")
+    lines = materialise(rows.select("id", "text", "rid").mapInArrow(_line_rows(min_chars, short), f"id {kind}, rid long, line int, h long"), "line-rows")
     components = materialise(connected_components(line_links(rows, lines, threshold, min_chars, block)), "components")
     own = lines.groupBy("h").agg(F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("n"))
     own = own.join(components.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))

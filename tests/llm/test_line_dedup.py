@@ -97,3 +97,12 @@ def test_full_repeats_of_a_row_and_empty_tables(spark):
     got = sorted((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(df).collect())
     assert got == [(1, line), (1, line), (2, "")]
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_take_part(spark):
+    texts = ["Les.\nAll rights reserved.\n\n  \nab", "Les.\nAll rights reserved!\n\n  \nabc", "Lis.\nnone of it\nab\nLes.", "All right reserved.\n\n\u3000\nabcde\nabxye", "\u3000\nvwxyz\nabcd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {0: texts[0], 1: "\n  \nabc", 2: "Lis.\nnone of it", 3: "\n\u3000\nabcde", 4: "\u3000\nvwxyz\nabcd"}
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, min_chars=40).collect()}
+    assert left == dict(enumerate(texts))
