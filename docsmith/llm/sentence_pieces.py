@@ -9,7 +9,7 @@ longer last piece wins.
 
 No piece goes on with a blank after something else, so a blank after another character is
 a piece boundary in every encoding, and the stretches between such boundaries (words) can be
-searched on their own.  The distinct words of a slice advance together, one byte a
+searched on their own.  The distinct words of a slice (by hash, then by their bytes) advance together, one byte a
 step; long words go by themselves.  One pass over the table, no shuffle.
 
 Edge cases: a null or empty text has no pieces; U+2581, the vocabulary's mark for a blank,
@@ -200,6 +200,7 @@ class Automaton(Spelling):
         np.cumsum(LETTERS[data] * up[: len(data)], out=total[1:])
         word = mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64))
         _, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+        first, inverse = told_apart(data, start, size, first, inverse)
         order = np.argsort(-size[first], kind="stable")
         counts, flat = np.zeros(len(first), np.int64), []
         a = 0
@@ -223,6 +224,35 @@ class Automaton(Spelling):
         return ids, ends[np.searchsorted(start, at, "left")]
 
 
+def told_apart(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of words (their first words, and the group of each word) as their bytes have it: a word that only shares its group's hash gets one of its own."""
+    like = first[inverse]
+    same = size == size[like]
+    look = np.flatnonzero(same & (like != np.arange(len(start))))
+    wrong = [np.flatnonzero(~same)]
+    a = 0
+    total = np.cumsum(size[look])
+    while a < len(look):
+        # a bounded stretch of bytes at a time
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
+        part = look[a:b]
+        differ = data[ragged(start[part], size[part])] != data[ragged(start[like[part]], size[part])]
+        if differ.any():
+            wrong.append(np.unique(np.repeat(part, size[part])[differ]))
+        a = b
+    wrong = np.concatenate(wrong)
+    if not len(wrong):
+        return first, inverse
+    inverse, own, more = inverse.copy(), {}, []
+    for k in wrong.tolist():
+        spelled = data[start[k] : start[k] + size[k]].tobytes()
+        if spelled not in own:
+            own[spelled] = len(first) + len(more)
+            more.append(k)
+        inverse[k] = own[spelled]
+    return np.concatenate([first, np.array(more, first.dtype)]), inverse
+
+
 @lru_cache(maxsize=1)
 def automaton(path: str) -> Automaton:
     return Automaton(path)

@@ -7,7 +7,8 @@ import pytest
 sentencepiece = pytest.importorskip("sentencepiece")
 P = pytest.importorskip("public_tokenizers")
 
-from docsmith.llm.sentence_pieces import automaton, decode, encode  # noqa: E402
+from docsmith.llm import queries  # noqa: E402
+from docsmith.llm.sentence_pieces import automaton, decode, encode, told_apart  # noqa: E402
 
 PATH = P.path("piece_bpe_32k.model")
 
@@ -92,3 +93,36 @@ def test_tables(spark):
     assert encode(df.limit(0), PATH).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [259 + 40]), (3, [1, 2])], "k long, ids array<int>")
     assert {r.k: r.decoded for r in decode(nulls, PATH).collect()}[1] is None
+
+
+def structured(n=10):
+    """Two words of 2 ** n letters that differ in every place, and that polynomials modulo a power of two take for one."""
+    a = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "".join("ab"[x] for x in a), "".join("ba"[x] for x in a)
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    a = automaton(PATH)
+    one, other = structured()
+    all_texts = [f"{one} {other} {one} x {other}", one, other]
+    ids, at = a.encode(pa.array(all_texts))
+    assert a.decode(ids.astype(np.int64), at) == all_texts
+    assert [ids[at[i] : at[i + 1]].tolist() for i in (1, 2)] == brute(a, [one, other])
+    # a hash that is the same for all words
+    data = np.frombuffer(b" ab cd abc ab cd", np.uint8)
+    start, size = np.array([0, 3, 6, 10, 13]), np.array([3, 3, 4, 3, 3])
+    first, inverse = told_apart(data, start, size, np.array([0]), np.zeros(5, np.int64))
+    assert [data[start[first[g]] :][: size[first[g]]].tobytes() for g in inverse] == [b" ab", b" cd", b" abc", b" ab", b" cd"] and len(first) == 3
+
+
+def test_registered_query(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.op7_sentence_pieces(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and all(r.round_trip for r in rows)
+    a = automaton(PATH)
+    short = [k for k in docs if len(docs[k]) < 1500][:40]
+    want = dict(zip(short, brute(a, [docs[k] for k in short])))
+    for r in rows:
+        assert r.n_bytes == len(docs[r.doc_id].encode())
+        if r.doc_id in want:
+            assert r.n_pieces == len(want[r.doc_id])
