@@ -22,7 +22,6 @@ other than id and text are not carried over.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat_texts, materialise, ragged, release, slices
-from .pretokens import unspaced
+from .pretokens import unassigned, unspaced
 from .token_counts import machine
 
 CAPACITY = 2048
@@ -49,6 +48,14 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def composed():
+    """The library's own composition of characters, whose tables are of another age than Python's."""
+    from tokenizers.normalizers import NFC
+
+    return NFC()
+
+
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after the other, and the offsets between texts."""
     transducer, special = machine(path)
@@ -63,7 +70,13 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
                 odd[row] = np.array(library(path).encode(text.decode(), add_special_tokens=False).ids, np.int64)
                 text = b""
             elif not text.isascii():
-                text = unicodedata.normalize("NFC", text.decode()).replace("Σ", "σ").lower().encode()
+                shown = text.decode()
+                if unassigned().search(shown):
+                    # and to those with characters that only its tables may know
+                    odd[row] = np.array(library(path).encode(shown, add_special_tokens=False).ids, np.int64)
+                    text = b""
+                else:
+                    text = composed().normalize_str(shown).replace("Σ", "σ").lower().encode()
             texts.append(text)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         data = np.frombuffer(b"".join(texts), np.uint8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -22,6 +23,14 @@ def kinds() -> np.ndarray:
     return out
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Finds characters that Python's tables do not know; a library with newer tables may."""
+    none = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], none, [False]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())) + "]")
+
+
 def classes(data: np.ndarray) -> np.ndarray:
     """The class of each byte's character."""
     out = kinds()[:256].copy()

@@ -1,14 +1,18 @@
 import random
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
 
-from docsmith.llm.packing import CAPACITY, pack, solve  # noqa: E402
-from docsmith.llm.token_counts import count_tokens  # noqa: E402
+from docsmith.llm import queries  # noqa: E402
+from docsmith.llm.packing import CAPACITY, pack, solve, token_ids  # noqa: E402
+from docsmith.llm.token_counts import count_tokens, token_counts  # noqa: E402
 
 PARTS = ["a", "b", "'s", "'", "re", "'re", "ll", " ", "  ", "\n", "\t", "　", "\xa0", "é", "1", "٣", "!", "中", "文", "😀", "the", "é", " 's", "'S", "x" * 40, "Straße", "ΑΣ ", "<|endoftext|>", "<|startoftext|>", "İ", "12 3", "It's we'LL"]
 
@@ -116,3 +120,46 @@ def test_solver_is_valid_and_close_to_the_optimum():
         assert len(rooms) == bins >= optimum(lengths, capacity)
         extra += bins - optimum(lengths, capacity)
     assert extra <= 3
+
+
+def points():
+    return [chr(c) for c in range(0x20, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+
+
+def test_ids_of_every_code_point_equal_the_library():
+    path = P.path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    marks = [c for c in points() if unicodedata.category(c) in ("Mn", "Mc")]
+    rng = random.Random(4)
+    texts = [f"a{c}b{c}1 {c}\u0301x" for c in points()] + ["e" + "".join(rng.choices(marks, k=3)) + "o" for _ in range(20000)]
+    for k in range(0, len(texts), 50000):
+        part = texts[k : k + 50000]
+        ids, at = token_ids(pa.array(part), path)
+        for i, own in enumerate(lib.encode_batch(part, add_special_tokens=False)):
+            assert ids[at[i] : at[i + 1]].tolist() == own.ids, part[i]
+
+
+def test_counts_of_every_code_point_equal_the_library():
+    path = P.path("byte_bpe_50k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    texts = [f"a{c}b{c}1 {c}  {c}x" for c in points()]
+    for k in range(0, len(texts), 50000):
+        part = texts[k : k + 50000]
+        _, n = token_counts(pa.array(part), path)
+        assert n.tolist() == [len(own.ids) for own in lib.encode_batch(part, add_special_tokens=False)]
+
+
+def test_registered_queries(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    bpe = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for r in queries.op8_token_counts(spark, "/root/testdata/sf0.001").collect():
+        n = len(bpe.encode(docs[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((docs[r.doc_id] or "").encode()), n, n > 512)
+    lib, got = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), {}
+    for r in queries.op9_best_fit_packing(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(docs)
+    for doc, own in got.items():
+        ids = ids_of(lib, docs[doc])
+        assert [(r.piece, r.start, r.length) for r in sorted(own, key=lambda r: r.piece)] == [(k, k * CAPACITY, min(CAPACITY, len(ids) - k * CAPACITY)) for k in range(-(-len(ids) // CAPACITY))]
+        assert all(zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in own)
