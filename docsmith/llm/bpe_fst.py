@@ -14,7 +14,8 @@ Texts are cut into chunks.  All chunks advance together, one look-up a symbol.
 The map of a chunk from entry state to exit state and count is constant from the
 first pretoken start in it on; that part runs at once for every chunk.
 The bytes before it run afterwards, from the exit state to which the chunks
-before compose, again for all chunks whose entry is known together.
+before compose.  Maps of chunks inside one long pretoken are tabulated for the states that occur and
+composed by a parallel prefix scan, so k chunks take about log k rounds.
 """
 
 from __future__ import annotations
@@ -198,11 +199,10 @@ class Transducer:
             at = self._step(now, grid[i])
             emitted[i] = self.emits.ravel().take(at)
             state[i] = now = self.table.ravel().take(at).astype(np.int64) - 1
-        # the heads, from what the chunks before compose to
         open_lanes = np.flatnonzero(state[0] == IDLE)
-        while len(open_lanes):
-            ready = open_lanes[state[CHUNK - 1, open_lanes - 1] != IDLE]
-            active, now = ready, state[CHUNK - 1, ready - 1].astype(np.int64)
+        if len(open_lanes):
+            entry = self._entries(grid, fresh, state)
+            active, now = open_lanes, entry[open_lanes]
             for i in range(CHUNK):
                 on = ~fresh[i, active]
                 active, now = active[on], now[on]
@@ -211,9 +211,73 @@ class Transducer:
                 at = self._step(now, grid[i, active])
                 emitted[i, active] = self.emits.ravel().take(at)
                 state[i, active] = now = self.table.ravel().take(at).astype(np.int64) - 1
-            open_lanes = np.flatnonzero(state[0] == IDLE)
         return self.last[state.T.ravel()[:n]], emitted.T.ravel()[:n]
 
+    def _entries(self, grid: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The state in which each chunk is entered, by a prefix scan over the chunks' maps.
+
+        A chunk with a pretoken start leaves in one state whatever it is entered in.  The map of one without
+        is tabulated for the states that its neighbours are found to leave in, beginning with a guess, for all chunks at
+        once; a run ends where it meets the path of the guess, which is soon, as states
+        forget.  Then maps are composed over 1, 2, 4, ... chunks.
+        """
+        lanes = grid.shape[1]
+        entry = np.full(lanes, IDLE, np.int64)
+        leaves = state[CHUNK - 1].astype(np.int64)
+        entry[1:] = leaves[:-1]
+        inner = np.flatnonzero(leaves == IDLE)
+        if not len(inner):
+            return entry
+        is_inner = np.zeros(lanes + 1, bool)
+        is_inner[inner] = True
+        # the guess: as if a pretoken began with the chunk
+        column = np.zeros(lanes, np.int64)
+        column[inner] = np.arange(len(inner))
+        guess = np.empty((CHUNK, len(inner)), np.int32)
+        now = np.full(len(inner), ROOT, np.int64)
+        for i in range(CHUNK):
+            guess[i] = now = self.table.ravel().take(self._step(now, grid[i, inner])).astype(np.int64) - 1
+        # the tabulated part of all maps, as sorted keys (chunk, state) and the states they lead to
+        width = np.int64(1 << 32)
+        keys, exits = inner * width + ROOT, now
+        heads = inner[(inner > 0) & ~is_inner[inner - 1]]
+        wanted = np.unique(np.concatenate([heads * width + entry[heads], (inner + 1)[is_inner[inner + 1]] * width + now[is_inner[inner + 1]]]))
+        while True:
+            wanted = wanted[~np.isin(wanted, keys)]
+            if not len(wanted):
+                break
+            lane, now = wanted // width, wanted % width
+            out, alive = np.empty(len(lane), np.int64), np.arange(len(lane))
+            for i in range(CHUNK):
+                now = self.table.ravel().take(self._step(now, grid[i, lane[alive]])).astype(np.int64) - 1
+                met = now == guess[i, column[lane[alive]]]
+                out[alive[met]] = guess[CHUNK - 1, column[lane[alive[met]]]]
+                alive, now = alive[~met], now[~met]
+                if not len(alive):
+                    break
+            out[alive] = now
+            keys, exits = np.concatenate([keys, wanted]), np.concatenate([exits, out])
+            follows = is_inner[lane + 1]
+            wanted = np.unique((lane[follows] + 1) * width + out[follows])
+        order = np.argsort(keys)
+        keys, exits = keys[order], exits[order]
+        lane = keys // width
+        end = len(keys)
+        # the pair that each pair leads to; the last of a stretch leads nowhere
+        jump = np.append(np.where(is_inner[lane + 1], np.searchsorted(keys, (lane + 1) * width + exits), end), end)
+        real = np.searchsorted(keys, heads * width + entry[heads])
+        while True:
+            more = jump[real]
+            more = more[more < end]
+            if not len(more):
+                break
+            real, jump = np.concatenate([real, more]), jump[jump]
+        entry[lane[real]] = keys[real] % width
+        after = lane[real] + 1
+        on = after < lanes
+        entry[after[on]] = exits[real][on]
+        return entry
+
     def trace(self, last: np.ndarray, first: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of the pretokens first..final (positions, inclusive): where each token ends, and its id, in order."""
         ends, at, left = [], final.astype(np.int64), first.astype(np.int64)

@@ -163,3 +163,19 @@ def test_registered_queries(spark):
         ids = ids_of(lib, docs[doc])
         assert [(r.piece, r.start, r.length) for r in sorted(own, key=lambda r: r.piece)] == [(k, k * CAPACITY, min(CAPACITY, len(ids) - k * CAPACITY)) for k in range(-(-len(ids) // CAPACITY))]
         assert all(zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in own)
+
+
+def test_long_pretokens_over_many_chunks():
+    path = P.path("byte_bpe_50k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (255, 256, 257, 511, 512, 513, 5000, 60000)]
+    texts += ["a" * 20000, "ab" * 9000, "abc " * 500 + "x" * 3000 + " y " + "z" * 700, "中" * 9000, "the" * 5000]
+    texts += ["".join(rng.choices(["ing", "tion", "a", "qq", "zx", "er"], k=1500)) + " " + "b" * rng.randint(200, 900) for _ in range(20)]
+    _, n = token_counts(pa.array(texts), path)
+    assert n.tolist() == [len(own.ids) for own in lib.encode_batch(texts, add_special_tokens=False)]
+    path = P.path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    ids, at = token_ids(pa.array(texts), path)
+    for i, own in enumerate(lib.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == own.ids
