@@ -4,7 +4,7 @@ Heuristic labellers vote good (+1), bad (-1) or abstain (0) on every whole text.
 Expectation-maximisation over the counts of vote patterns, of which there are at most
 3 ** labellers whatever the input, estimates what each labeller votes on good and on bad
 texts, and so the posterior of each pattern.  The posteriors of a bounded sample
-(``SAMPLE`` documents of an even hash sample) train a logistic scorer over hashed
+(``SAMPLE`` documents of an even hash sample of rows, by id and text) train a logistic scorer over hashed
 features: byte trigrams, and words that repeat the one before.  Every document is then scored.
 
 Counts cover all documents; only the fit of the scorer is on the sample.  No shuffle but
@@ -29,8 +29,10 @@ from .common import flat_texts, slices, sums
 from .suffix_dedup import LETTERS, SLICE, mix, powers
 
 SAMPLE, BUCKETS, CUTOFF = 3000, 1 << 16, 0.5
-#: How heavy the prior on the labellers is, how often they call a good text bad in it, and the trigrams added to every count.
-TRUST, WRONG, SMOOTH = 1.0, 0.002, 20
+#: The prior on each labeller, in votes: so many on good and so many on bad texts, with these shares of "bad".
+PRIOR_VOTES, WRONG, FOUND = 10, 0.01, 0.3
+#: The trigrams added to every count.
+SMOOTH = 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>~^@{}")] = True
 BLANKS = np.zeros(256, bool)
@@ -130,18 +132,18 @@ def votes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """EM for two classes: the posterior of good for each pattern, the prior, and P(vote good | class, voted) by labeller.
 
-    Votes are independent given the class, abstentions say nothing.  The rates have a prior, as
-    heavy as ``TRUST`` of the votes: a labeller seldom calls a good text bad.
+    Votes are independent given the class, abstentions say nothing.  The prior on the rates is worth
+    ``PRIOR_VOTES`` votes a class, so it settles what few votes leave open, which class is the good one among
+    that, and hardly moves a labeller with many.
     """
     counts = counts.astype(np.float64)
     good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
-    # to start with, a text is bad if any labeller says so
-    q = np.where(bad.sum(axis=1) > 0, 0.2, 0.95)
-    faith = TRUST * (counts @ (good + bad)) + 10
+    # to start with, a text is bad if any labeller says so: labellers each see a fault of their own
+    q = np.where(bad.sum(axis=1) > 0, 0.02, 0.95)
     prior, rates = 0.5, np.full((2, patterns.shape[1]), 0.5)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - q), counts * q])
-        rates = np.stack([(weight[0] @ good + 2) / (weight[0] @ (good + bad) + 4), (weight[1] @ good + (1 - WRONG) * faith) / (weight[1] @ (good + bad) + faith)])
+        rates = np.stack([(w @ good + PRIOR_VOTES * (1 - share)) / (w @ (good + bad) + PRIOR_VOTES) for w, share in zip(weight, (FOUND, WRONG))])
         prior = (weight[1].sum() + 5) / (counts.sum() + 10)
         log = good @ np.log(rates[1] / rates[0]) + bad @ np.log((1 - rates[1]) / (1 - rates[0])) + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
@@ -254,9 +256,18 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray,
     # an even sample by hash: its size does not grow with the table
     share = min(1.0, sample / max(int(seen.sum()), 1))
     limit = min(int(-(2**63) + share * 2**64), 2**63 - 1)
-    drawn = rows.withColumn("h", F.xxhash64("id", F.lit(3))).filter(F.col("h") <= F.lit(limit)).mapInArrow(_sample_rows(posterior), "h long, target double, columns binary, shares binary")
-    # twice the expected size at most, least hashes first
-    drawn = sorted(drawn.orderBy("h").limit(2 * sample).collect(), key=lambda r: (r["h"], r["columns"], r["shares"]))
+    hashed = rows.withColumn("h", F.xxhash64("id", "text", F.lit(3)))
+
+    def take(chosen: DataFrame) -> list:
+        found = chosen.mapInArrow(_sample_rows(posterior), "h long, target double, columns binary, shares binary")
+        # twice the expected size at most, least hashes first
+        return sorted(found.orderBy("h").limit(2 * sample).collect(), key=lambda r: (r["h"], r["columns"], r["shares"]))
+
+    drawn = take(hashed.filter(F.col("h") <= F.lit(limit)))
+    if not drawn and seen.sum():
+        # a few distinct rows, repeated very often, may have no hash in the range
+        least = hashed.filter("text <> ''").groupBy("h").agg(F.any_value("text").alias("text")).orderBy("h").limit(sample)
+        drawn = take(least)
     weights, bias = fit_scorer([(np.frombuffer(r["columns"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in drawn], np.array([r["target"] for r in drawn]))
     return posterior, weights, bias
 

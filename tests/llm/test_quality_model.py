@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from docsmith.llm import quality_model as q
+from docsmith.llm import queries
 
 
 def corpus(n=900, seed=5):
@@ -52,5 +53,40 @@ def test_em_finds_planted_accuracies():
     assert np.mean((posterior[code] > 0.5) == good) > 0.97
 
 
+def test_em_finds_a_labeller_that_errs_often():
+    rng = np.random.default_rng(8)
+    n = 40_000
+    good = rng.random(n) < 0.8
+    # the share of good and of bad texts that each labeller calls bad
+    on_good, on_bad = np.array([0.3, 0.02, 0.05, 0.1, 0.0]), np.array([0.8, 0.9, 0.7, 0.85, 0.6])
+    votes = np.where(rng.random((n, 5)) < np.where(good[:, None], on_good, on_bad), -1, 1)
+    votes[rng.random((n, 5)) < 0.1] = 0
+    patterns = np.array(list(itertools.product((-1, 0, 1), repeat=5)))
+    code = (votes + 1) @ 3 ** np.arange(4, -1, -1)
+    posterior, prior, rates = q.fit_votes(patterns, np.bincount(code, minlength=3**5))
+    assert abs(prior - 0.8) < 0.03
+    assert np.abs(1 - rates[1] - on_good).max() < 0.05 and np.abs(1 - rates[0] - on_bad).max() < 0.05
+    assert np.mean((posterior[code] > 0.5) == good) > 0.95
+
+
+def test_equal_and_null_ids_are_sampled(spark):
+    rows = corpus(240)
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {}
+    for text, r in zip([t for _, t, _ in rows], q.classify(df.coalesce(1), sample=60).collect()):
+        got[text] = r.kept
+    assert np.mean([got[t] == bool(g) for _, t, g in rows]) > 0.95
+    alone = spark.createDataFrame([(1, rows[5][1])] * 500, "doc_id long, text string")
+    assert q.classify(alone, sample=3).select("kept").distinct().count() == 1
+
+
+def test_registered_query_on_held_out_labels(spark):
+    kept = {r.doc_id: r.kept for r in queries.op3_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    good = [kept[r.doc_id] for r in labels if r.quality == 1]
+    bad = [kept[r.doc_id] for r in labels if r.quality == 0]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
+
+
 def test_empty_table(spark):
     assert q.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
