@@ -16,10 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 
 
+#: The least a batch or shard is meant for, in bytes of the table as its files have it.
+BATCH_BYTES = 128 << 20
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder path in the folder that all executors share (``spark.checkpoint.dir``)."""
+    """A new folder path in the folder that all executors share (``spark.checkpoint.dir``); only a local session may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="docsmith-checkpoint-")
@@ -27,6 +33,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def parts_for(df: DataFrame) -> int:
+    """Into how many parts a table is dealt: as many as ``spark.sql.shuffle.partitions``, or more, so that a part's share of the files is bounded."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # tables that do not know their size claim to be beyond all measure
+    return max(n, -(-size // BATCH_BYTES)) if size < 1 << 60 else n
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back; this cuts the lineage."""
     spark = df.sparkSession

@@ -11,31 +11,46 @@ from __future__ import annotations
 import numpy as np
 
 
-def within(text: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Whether text[a:a + m] and text[b:b + n] are at most k edits apart, for arrays of pairs."""
+def within(text: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, k: int, limit: np.ndarray | None = None) -> np.ndarray:
+    """Whether text[a:a + m] and text[b:b + n] are at most k edits apart, for arrays of pairs; ``limit`` gives each pair a bound of its own, k at most."""
     out = np.zeros(len(a), bool)
-    todo = np.flatnonzero(np.abs(m - n) <= k)
-    a, m, b, n = (x[todo].astype(np.int64) for x in (a, m, b, n))
-    _trim(text, a, m, b, n)
-    order = np.argsort(-n, kind="stable")
-    for c in range(0, len(order), 1 << 15):
-        part = order[c : c + (1 << 15)]
-        out[todo[part]] = _columns(text, a[part], m[part], b[part], n[part], k) <= k
+    limit = np.full(len(a), k, np.int64) if limit is None else limit
+    todo = np.flatnonzero(np.abs(m - n) <= limit)
+    todo = todo[np.argsort(-n[todo], kind="stable")]
+    for c in range(0, len(todo), 1 << 14):
+        part = todo[c : c + (1 << 14)]
+        own = [x[part].astype(np.int64) for x in (a, m, b, n)]
+        _trim(text, *own)
+        order = np.argsort(-own[3], kind="stable")
+        out[part[order]] = _columns(text, *(x[order] for x in own), k) <= limit[part[order]]
+    return out
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int, width: int = 32) -> np.ndarray:
+    """How many characters of each pair are equal from a and b on, forwards or backwards, up to size."""
+    out = np.zeros(len(a), np.int64)
+    on = np.flatnonzero(size > 0)
+    ahead = np.arange(width)
+    while len(on):
+        done, left = out[on], size[on] - out[on]
+        at = np.minimum(ahead, left[:, None] - 1) + done[:, None]
+        same = text[a[on, None] + step * at] == text[b[on, None] + step * at]
+        run = np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)), left)
+        out[on] += run
+        on = on[(run == width) & (left > width)]
     return out
 
 
 def _trim(text: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
-    """Leave out the equal starts and ends of each pair, which cost nothing; of near copies little stays."""
-    for p in range(len(a)):
-        x, y, size = a[p], b[p], min(m[p], n[p])
-        differ = text[x : x + size] != text[y : y + size]
-        at = int(differ.argmax()) if size and differ.any() else size
-        a[p], b[p], m[p], n[p], size = x + at, y + at, m[p] - at, n[p] - at, size - at
-        if size:
-            x, y = a[p] + m[p], b[p] + n[p]
-            differ = text[x - size : x][::-1] != text[y - size : y][::-1]
-            at = int(differ.argmax()) if differ.any() else size
-            m[p], n[p] = m[p] - at, n[p] - at
+    """Leave out the equal starts and ends of the pairs, which cost nothing; of near copies little stays."""
+    same = _equal(text, a, b, np.minimum(m, n), 1)
+    a += same
+    b += same
+    m -= same
+    n -= same
+    same = _equal(text, a + m - 1, b + n - 1, np.minimum(m, n), -1)
+    m -= same
+    n -= same
 
 
 def _columns(text: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
