@@ -3,10 +3,11 @@
 A fingerprint is embedded as the popcounts of its 32 two-bit segments.  The
 Manhattan distance of two embeddings is a lower bound of the Hamming distance, and in
 unary (0, 1, 11 for a count of 0, 1, 2) it is itself a count of differing bits.
-The segments lie in 7 groups; fingerprints at distance 4 or less differ in at most 4
-of them, so they agree on 3 at least: each of the 35 choices of 3 groups is a grid whose cells are
-the exact counts there, and every linked pair shares a cell of some grid.
-Within a cell the Manhattan bound is tested first, then the exact distance.
+The join is a range join on a grid: the segments lie in two blocks, and fingerprints at distance 4 or less
+are at Manhattan distance 2 or less in one of them.  There each takes its own cell, which
+is its counts in that block, and the cells one step away (a count one higher or lower); any two at distance 2
+have a cell between them.  Some 24 bits tell a block's cells apart, at a cost of about 50 rows a fingerprint.
+Within a cell the Manhattan bound over both blocks is tested first, then the exact distance.
 
 Copies are one row: the join is over distinct fingerprints.  A cell is searched
 breadth first, comparing with what is not reached yet, and gives a spanning
@@ -14,6 +15,10 @@ forest of its links rather than all pairs; so a dense group costs about its size
 There are at most 679,121 fingerprints within 4 bits of one, which bounds what a
 group of near copies can bring into a cell, however many documents it has.
 
+``similar_documents`` is for a similarity that 4 bits are too few for: of 128 bits over five-word shingles, near copies with
+four fifths of their shingles in common differ in about one of seven.  Segments of one bit have themselves as popcounts; a cell
+is such segments drawn at random, in as many grids as a pair at that distance needs to share one.
+
 Edge cases: a null or wordless text has fingerprint zero, which links as any other;
 fewer words than a shingle make one shingle; repeated ids are separate rows; an empty
 table gives an empty result.  Columns other than id and text are not carried over.
@@ -21,8 +26,8 @@ table gives an empty result.  Columns other than id and text are not carried ove
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import flat_texts, materialise, release, slices
 from .graph import connected_components
 
-BITS, RADIUS, GROUPS = 64, 4, 7
+BITS, RADIUS, BLOCKS = 64, 4, 2
 EVEN = np.uint64(0x5555555555555555)
+#: For similar documents: bits of the fingerprint, those that a cell takes at least, and the chance that a pair at the similarity shares no cell.
+WIDE, DRAWN, MISS = 128, 16, 0.02
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -79,107 +86,128 @@ def embed(x: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << np.uint64(1))
 
 
-def grids() -> list[np.uint64]:
-    """For each choice of groups, the mask of their segments."""
-    group = [np.uint64(0)] * GROUPS
+def blocks() -> list[np.uint64]:
+    """The masks of the blocks: every other segment."""
+    masks = [np.uint64(0)] * BLOCKS
     for segment in range(BITS // 2):
-        group[segment % GROUPS] |= np.uint64(3 << 2 * segment)
-    return [a | b | c for a, b, c in combinations(group, GROUPS - RADIUS)]
+        masks[segment % BLOCKS] |= np.uint64(3 << 2 * segment)
+    return masks
+
+
+def steps(unary: np.ndarray, mask: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, cells): the own cell of every row in a block, and those a step away of the rows that have them."""
+    cell = unary & mask
+    yield np.arange(len(cell)), cell
+    for segment in range(BITS // 2):
+        low, high = np.uint64(1 << 2 * segment), np.uint64(2 << 2 * segment)
+        if not mask & low:
+            continue
+        none, full = (cell & low) == 0, (cell & high) != 0
+        one = ~none & ~full
+        for rows, bits in ((none, low), (one, high), (one, low), (full, high)):
+            at = np.flatnonzero(rows)
+            yield at, cell[at] ^ bits
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks = grids()
     mix = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        x = batch.column("fp").to_numpy().view(np.uint64)
-        unary = embed(x)
-        for k, mask in enumerate(masks):
-            cell = ((unary & mask) * mix) ^ np.uint64(k * 0xD1B54A32D192ED03 & (1 << 64) - 1)
-            cell = (cell ^ (cell >> np.uint64(29))) * mix
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), batch.column("fp")], names=["cell", "fp"])
-
-
-def close(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray) -> np.ndarray:
-    """Whether pairs are within the radius: first the Manhattan bound, then the exact distance."""
-    near = np.bitwise_count(ua ^ ub) <= RADIUS
-    at = np.flatnonzero(near)
-    near[at] = np.bitwise_count((a if a.ndim and len(a) > 1 else np.broadcast_to(a, near.shape))[at] ^ b[at]) <= RADIUS
+        x = batch.column("a").to_numpy()
+        unary = embed(x.view(np.uint64))
+        for k, mask in enumerate(blocks()):
+            for rows, cell in steps(unary, mask):
+                # cells of the two blocks are told apart by the odd segments
+                cell = (cell ^ (cell >> np.uint64(29))) * mix + np.uint64(k)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(x[rows])], names=["cell", "a"])
+
+
+def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of two tables of fingerprints are within the radius: first the Manhattan bound, then the exact distance."""
+    x, y = x[:, 0], y[:, 0]
+    near = np.bitwise_count(embed(x) ^ embed(y)) <= RADIUS
+    return near & (np.bitwise_count(x ^ y) <= RADIUS)
+
+
+def within_radius(radius: int):
+    """Whether rows of two tables of fingerprints of several words are within a radius."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= radius
+
     return near
 
 
-def spanning(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected among distinct fingerprints, breadth first."""
-    rest, unary = x, embed(x)
-    us, vs = [], []
-    frontier: list[np.uint64] = []
-    while len(rest) or frontier:
+def spanning(x: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that connect what is connected among distinct fingerprints, breadth first."""
+    rest = np.arange(len(x))
+    us, vs, frontier = [], [], []
+    while len(rest):
         if not frontier:
             frontier.append(rest[0])
-            rest, unary = rest[1:], unary[1:]
-        one = np.array([frontier.pop()])
-        if not len(rest):
-            break
-        hit = close(one, rest, embed(one), unary)
+            rest = rest[1:]
+        one = frontier.pop()
+        hit = near(x[rest], x[one : one + 1])
         if hit.any():
             found = rest[hit]
             us.append(found)
-            vs.append(np.repeat(one, len(found)))
-            frontier.extend(found)
-            rest, unary = rest[~hit], unary[~hit]
-    none = np.zeros(0, np.uint64)
+            vs.append(np.full(len(found), one))
+            frontier.extend(found.tolist())
+            rest = rest[~hit]
+    none = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
 SMALL = 24
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of sorted (cell, fp) rows; a cell that goes on in the next batch is held back."""
+def _links(names: list[str], near):
+    """Links of sorted (cell, fingerprint) rows, the fingerprint in one or more words; a cell that goes on in the next batch is held back."""
 
     def search(cell: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        us, vs = [], []
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.concatenate([first, [len(cell)]]))
         for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-            u, v = spanning(x[a : a + n])
-            us.append(u)
-            vs.append(v)
-        small = np.repeat(size <= SMALL, size)
-        cell, x = cell[small], x[small]
-        unary = embed(x)
+            u, v = spanning(x[a : a + n], near)
+            us.append(u + a)
+            vs.append(v + a)
+        few = np.flatnonzero(np.repeat(size <= SMALL, size))
+        cell = cell[few]
         for d in range(1, SMALL):
             at = np.flatnonzero(cell[d:] == cell[:-d])
             if not len(at):
                 break
-            at = at[np.bitwise_count(unary[at] ^ unary[at + d]) <= RADIUS]
-            at = at[np.bitwise_count(x[at] ^ x[at + d]) <= RADIUS]
-            us.append(x[at])
-            vs.append(x[at + d])
-        u, v = (np.concatenate(y) if y else np.zeros(0, np.uint64) for y in (us, vs))
-        pairs = np.unique(np.stack([u, v]).view(np.int64), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        cell, x = batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-        if not len(cell):
-            continue
-        held.append((cell, x))
-        rows += len(cell)
-        if rows >= 1 << 16 and held[0][0][0] != cell[-1]:
-            cell, x = (np.concatenate(y) for y in zip(*held))
-            cut = int(np.searchsorted(cell, cell[-1], "left"))
-            yield search(cell[:cut], x[:cut])
-            held, rows = [(cell[cut:], x[cut:])], len(cell) - cut
-    if held:
-        yield search(*(np.concatenate(y) for y in zip(*held)))
+            at = at[near(x[few[at]], x[few[at + d]])]
+            us.append(few[at])
+            vs.append(few[at + d])
+        u, v = x[np.concatenate(us)].view(np.int64), x[np.concatenate(vs)].view(np.int64)
+        pairs = np.unique(np.concatenate([u, v], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(pairs.shape[1])], names=[*(f"u{n}" for n in names), *(f"v{n}" for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy()
+            held.append((cell, np.stack([batch.column(n).to_numpy().view(np.uint64) for n in names], axis=1)))
+            rows += len(cell)
+            if rows >= 1 << 16 and held[0][0][0] != cell[-1]:
+                cell, x = (np.concatenate(y) for y in zip(*held))
+                cut = int(np.searchsorted(cell, cell[-1], "left"))
+                yield search(cell[:cut], x[:cut])
+                held, rows = [(cell[cut:], x[cut:])], len(cell) - cut
+        if held:
+            yield search(*(np.concatenate(y) for y in zip(*held)))
+
+    return run
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(u, v): links that span every component of the distinct fingerprints ``fp``."""
-    cells = distinct.select("fp").mapInArrow(_cells, "cell long, fp long")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links, "u long, v long").distinct()
+    cells = distinct.select(F.col("fp").alias("a")).mapInArrow(_cells, "cell long, a long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(["a"], close), "ua long, va long").distinct().toDF("u", "v")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -192,3 +220,78 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = rooted.join(whole, "root").select("fp", "component_id")
     hexadecimal = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), hexadecimal.alias("fingerprint"), "component_id")
+
+
+def wide_fingerprint(text: bytes, width: int, seed: int = 42) -> bytes:
+    """The majority of the bits of the 128-bit hashes of the distinct shingles."""
+    words = text.lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    shingles = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, seed) for x in shingles), np.uint8).reshape(-1, WIDE // 8)
+    ones = np.zeros(WIDE, np.int64)
+    for k in range(0, len(hashes), 1 << 13):
+        ones += np.unpackbits(hashes[k : k + (1 << 13)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def _wide_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                data, at = flat_texts(part.column("__text"))
+                raw = data.tobytes()
+                found = np.frombuffer(b"".join(wide_fingerprint(raw[a:b], width) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["__id", "a", "b"])
+        release()
+
+    return run
+
+
+def bits_apart(similarity: float) -> float:
+    """The share of bits in which fingerprints of texts differ whose shingles have that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _wide_cells(drawn: int, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(20240517)
+        chosen = [rng.choice(WIDE, drawn, replace=False) for _ in range(tables)]
+        weights = np.uint64(1) << np.arange(drawn, dtype=np.uint64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 13):
+                part = batch.slice(k, 1 << 13)
+                a, b = (part.column(n).to_numpy() for n in ("a", "b"))
+                bits = np.unpackbits(np.stack([a, b], axis=1).view(np.uint8), axis=1)
+                for table, places in enumerate(chosen):
+                    cell = (bits[:, places].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) * np.uint64(tables) + np.uint64(table)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), part.column("a"), part.column("b")], names=["cell", "a", "b"])
+
+    return run
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, miss: float = MISS) -> DataFrame:
+    """(id, component_id): the least id reachable by links between documents whose word shingles are similar.
+
+    Documents link if their wide fingerprints differ in no more bits than texts of that Jaccard similarity
+    do on average, and one standard deviation more; five of six pairs at the similarity itself are within, and nearly
+    all that are a few points above.  With the number of fingerprints cells take more bits, one for every doubling
+    beyond 2 ** DRAWN * 256, and there are more grids, so that cells do not grow and the chance to meet stays as it is.
+    """
+    apart = bits_apart(similarity)
+    radius = int(WIDE * apart + math.sqrt(WIDE * apart * (1 - apart)))
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    rows = materialise(rows.mapInArrow(_wide_rows(width), f"__id {kind}, a long, b long"), "wide")
+    classes = materialise(rows.groupBy("a", "b").agg(F.min("__id").alias("least")), "classes")
+    drawn = max(DRAWN, math.ceil(math.log2(max(classes.count(), 1) / 256)))
+    tables = math.ceil(math.log(miss) / math.log1p(-((1 - apart) ** drawn)))
+    cells = classes.select("a", "b").mapInArrow(_wide_cells(drawn, tables), "cell long, a long, b long")
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(["a", "b"], within_radius(radius)), "ua long, ub long, va long, vb long")
+    node = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    components = materialise(connected_components(found.select(node("ua", "ub").alias("u"), node("va", "vb").alias("v"))), "components")
+    own = F.struct("a", "b")
+    rooted = classes.join(components.select("node.a", "node.b", "root"), ["a", "b"], "left").withColumn("root", F.coalesce("root", own))
+    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(whole, "root").select("a", "b", "component_id")
+    return rows.join(named, ["a", "b"]).select(F.col("__id").alias(id_col), "component_id")

@@ -6,7 +6,7 @@ import pytest
 
 xxhash = pytest.importorskip("xxhash")
 
-from docsmith.llm import simhash  # noqa: E402
+from docsmith.llm import queries, simhash  # noqa: E402
 from docsmith.llm.graph import connected_components  # noqa: E402
 
 
@@ -83,6 +83,15 @@ def test_links_of_planted_clusters(spark):
     assert components(len(fps), [(at[r.u], at[r.v]) for r in links]) == components(len(fps), true)
 
 
+def test_registered_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op4_simhash_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    ids = sorted(got)
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in rows}
+    root = components(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if bin(fps[ids[i]] ^ fps[ids[j]]).count("1") <= 4])
+    assert {i: (got[i].fingerprint, got[i].component_id) for i in ids} == {i: (f"{fps[i]:016x}", ids[root[k]]) for k, i in enumerate(ids)}
+
+
 def test_components_of_long_paths_and_empty_tables(spark):
     n = 200
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
