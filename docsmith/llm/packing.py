@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat_texts, materialise, ragged, release, slices
-from .pretokens import unassigned, unspaced
+from .pretokens import JOINS, UNKNOWN, oddities, points, unspaced
 from .token_counts import machine
 
 CAPACITY = 2048
@@ -63,20 +63,21 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     odd: dict[int, np.ndarray] = {}
     if len(data) and data.max() >= 128 or any(s in data.tobytes() for s in special):
         raw, texts = data.tobytes(), []
+        lead, point, _ = points(data)
+        odds = oddities()[point]
+        unknown, joins, wide = (set((np.searchsorted(at, lead[x], "right") - 1).tolist()) for x in (odds & UNKNOWN > 0, odds & JOINS > 0, slice(None)))
         for row in range(len(at) - 1):
             text = raw[at[row] : at[row + 1]]
-            if any(s in text for s in special):
-                # special tokens are found before the text is normalised: the library sees to those few texts
+            if row in unknown or any(s in text for s in special):
+                # special tokens are found before the text is normalised, and only the library's tables may know some
+                # characters: it sees to those few texts
                 odd[row] = np.array(library(path).encode(text.decode(), add_special_tokens=False).ids, np.int64)
                 text = b""
-            elif not text.isascii():
+            elif row in wide:
                 shown = text.decode()
-                if unassigned().search(shown):
-                    # and to those with characters that only its tables may know
-                    odd[row] = np.array(library(path).encode(shown, add_special_tokens=False).ids, np.int64)
-                    text = b""
-                else:
-                    text = composed().normalize_str(shown).replace("Σ", "σ").lower().encode()
+                if row in joins:
+                    shown = composed().normalize_str(shown)
+                text = shown.replace("Σ", "σ").lower().encode()
             texts.append(text)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         data = np.frombuffer(b"".join(texts), np.uint8)

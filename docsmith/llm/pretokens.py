@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from functools import cache
@@ -23,12 +22,37 @@ def kinds() -> np.ndarray:
     return out
 
 
+UNKNOWN, JOINS = 1, 2
+
+
 @cache
-def unassigned() -> re.Pattern:
-    """Finds characters that Python's tables do not know; a library with newer tables may."""
-    none = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], none, [False]]).astype(np.int8)))
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())) + "]")
+def oddities() -> np.ndarray:
+    """For every code point: UNKNOWN where Python's tables do not have it (a library with newer tables may), JOINS where composition may change it or what it follows."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    category, decomposition, normalize = unicodedata.category, unicodedata.decomposition, unicodedata.normalize
+    for c in range(0x80, sys.maxunicode + 1):
+        kind = category(char := chr(c))
+        if kind == "Cn":
+            out[c] = UNKNOWN
+        elif kind[0] == "M" or ((parts := decomposition(char)) and parts[0] != "<" and normalize("NFC", char) != char):
+            out[c] = JOINS
+    for a, b in ((0x1100, 0x1200), (0xA960, 0xA980), (0xD7B0, 0xD800)):
+        # the parts of Korean syllables
+        out[a:b] |= JOINS
+    return out
+
+
+def points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the characters beyond ASCII start, their code points, and their sizes in bytes."""
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead]
+    size = 2 + (first >= 0xE0) + (first >= 0xF0).astype(np.int64)
+    end = len(data) - 1
+    point = np.where(size == 2, first & 0x1F, np.where(size == 3, first & 0x0F, first & 0x07)).astype(np.int64)
+    for k in (1, 2, 3):
+        more = size > k
+        point[more] = point[more] << 6 | (data[np.minimum(lead[more] + k, end)] & 0x3F)
+    return lead, np.minimum(point, sys.maxunicode), size
 
 
 def classes(data: np.ndarray) -> np.ndarray:
@@ -36,16 +60,10 @@ def classes(data: np.ndarray) -> np.ndarray:
     out = kinds()[:256].copy()
     out[128:] = OTHER
     out = out[data]
-    lead = np.flatnonzero(data >= 0xC0)
+    lead, point, size = points(data)
     if len(lead):
-        first = data[lead]
-        size = 2 + (first >= 0xE0) + (first >= 0xF0).astype(np.int64)
         end = len(data) - 1
-        point = np.where(size == 2, first & 0x1F, np.where(size == 3, first & 0x0F, first & 0x07)).astype(np.int64)
-        for k in (1, 2, 3):
-            more = size > k
-            point[more] = point[more] << 6 | (data[np.minimum(lead[more] + k, end)] & 0x3F)
-        kind = kinds()[np.minimum(point, sys.maxunicode)]
+        kind = kinds()[point]
         out[lead] = kind
         for k in (1, 2, 3):
             more = (size > k) & (lead + k <= end)
