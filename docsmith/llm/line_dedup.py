@@ -48,7 +48,7 @@ from .family import CONTESTED, Family, batch_entries
 from .graph import connected_components
 from .suffix_dedup import ENTRY, SLICE, _rows, mix, powers
 
-THRESHOLD, PER_EDIT, BLOCK = 2, 20, 4096
+THRESHOLD, PER_EDIT, BLOCK = 2, 20, 1024
 #: Lines that are more than this share of all are broadcast.
 OFTEN = 1024
 #: A mark: the key is one of the line's own segments.
@@ -354,7 +354,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_links(rows: DataFrame, own: DataFrame, threshold: int, per_edit: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) that span the classes of the distinct lines, by their h; and (h, g) of the lines that the links are about.
+    """Links (u, v) that span the classes of the distinct lines, by their h; and the rows of ``own`` that the links are about.
 
     ``own`` has a row (h, g, first, n) for every distinct line.
     """
@@ -362,7 +362,8 @@ def line_links(rows: DataFrame, own: DataFrame, threshold: int, per_edit: int, b
     entries = rows.select("text").mapInArrow(_segment_rows(threshold, per_edit, n), ENTRY)
     met = materialise(entries.repartition(n, "shard").groupBy("shard").applyInArrow(_met, "key long, h long, n long"), "met")
     # a line's text comes from its first document
-    wanted = own.join(met.select("h").distinct(), "h").select("first.id", "first.rid", F.struct(F.col("first.line").alias("line"), "h", "g").alias("w"))
+    own = materialise(own.join(met.select("h").distinct(), "h"), "met-lines")
+    wanted = own.select("first.id", "first.rid", F.struct(F.col("first.line").alias("line"), "h", "g").alias("w"))
     wanted = wanted.groupBy("id", "rid").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"id": "wid", "rid": "wrid"}).hint("shuffle_hash")
     fetched = rows.select("id", "rid", "text").join(wanted, (F.col("rid") == F.col("wrid")) & F.col("id").eqNullSafe(F.col("wid"))).select("text", "wanted").mapInArrow(_fetch, "h long, g long, line string")
     # rows repeated in full give a line twice; of lines that share h, if there ever are such, one takes part
@@ -382,7 +383,7 @@ def line_links(rows: DataFrame, own: DataFrame, threshold: int, per_edit: int, b
     dealt = dealt.select(pair.alias("pair"), side.cast("int").alias("side"), "h", "line")
     # a fixed number: what counts is the comparing, not the bytes
     links = dealt.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_verify(threshold, per_edit), "u long, v long").distinct()
-    return links, texts.select("h", "g")
+    return links, own.join(texts.select("h", "g"), ["h", "g"])
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, per_edit: int = PER_EDIT, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -398,11 +399,12 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = materialise(rows.select("id", "text", "rid").mapInArrow(_line_rows, f"id {kind}, rid long, line int, h long, g long"), "line-rows")
     own = materialise(lines.groupBy("h", "g").agg(F.min(F.struct("id", "rid", "line")).alias("first"), F.count("*").alias("n")), "distinct-lines")
     links, linked = line_links(rows, own, threshold, per_edit, block)
-    components = connected_components(links).join(linked.withColumnRenamed("h", "node"), "node")
-    components = materialise(components.select(F.col("node").alias("h"), "g", "root"), "components")
-    # a line that is linked with none is a class of its own
-    own = own.join(components, ["h", "g"], "left")
-    own = own.select("h", "g", "first", "n", F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("g")).alias("alone"))
+    components = connected_components(links).withColumnRenamed("node", "h")
+    linked = materialise(linked.join(components, "h"), "linked")
+    # a line that is linked with none is a class of its own, and of those only the ones that come again matter
+    again = own.filter("n > 1").join(linked.select("h", "g"), ["h", "g"], "left_anti")
+    own = linked.select("h", "g", "first", "n", "root", F.lit(None).cast("long").alias("alone"))
+    own = own.unionByName(again.select("h", "g", "first", "n", F.col("h").alias("root"), F.col("g").alias("alone")))
     # only classes with several lines go on
     several = own.groupBy("root", "alone").agg(F.min("first").alias("least"), F.sum("n").alias("total")).filter("total > 1")
     several = several.select(F.col("root").alias("r"), F.col("alone").alias("a"), "least")
