@@ -15,8 +15,9 @@ have equal least grams, so only runs of one gram can hold equal windows.
    the suffixes cut at ``length``; a second family finds those that occur twice.
 3. Each batch removes what its repeated runs and repeated windows cover.
 
-Suffixes are ordered by 64-bit hashes, under which equal strings of the length are
-neighbours, as a merge scan needs.  What moves between batches and shards are sorted arrays
+Suffixes are ordered by digests (the least gram's hash and 64 bits of BLAKE2b for a run, 96 bits of it for a
+window), under which equal strings of the length are neighbours, as a merge scan needs.  The cheap rolling hash only finds grams; what is
+called equal is told by the cryptographic one, with which structured strings do not collide and chance would need some 10 ** 14 contested windows.  What moves between batches and shards are sorted arrays
 with each value once per batch, so a string that a third of all documents
 share is at most one entry a batch.  The texts are shuffled once.
 
@@ -28,6 +29,7 @@ repeated ids are separate rows; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_texts, materialise, pack_texts, ragged, release, slices, unpacked
+from .common import flat_texts, materialise, pack_texts, parts_for, ragged, release, slices, unpacked
 from .family import CONTESTED, FIRST, REPEATED, Family, batch_entries, pair_index
 
 LENGTH, GRAM = 200, 32
@@ -71,7 +73,7 @@ class Runs:
     """The runs of windows of a few texts that lie one after the other."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        n, self.length = len(data), length
+        n, self.length, self.raw = len(data), length, data.tobytes()
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(LETTERS[data] * up[:n], out=self.sums[1:])
@@ -97,7 +99,7 @@ class Runs:
         again = grams[window] == value
         again[np.concatenate([head[1:], [len(window)]]) - 1] = False
         self.inward = np.logical_or.reduceat(again, head)
-        self.sub = self.hashes(self.first, self.size + length - 1)
+        self.sub = digests(self.raw, self.first, self.first + self.size + length - 1, 2)[:, :2].copy().view(np.uint64).ravel()
 
     @staticmethod
     def _least(grams: np.ndarray, width: int) -> np.ndarray:
@@ -115,13 +117,18 @@ class Runs:
             k = len(grams) - 2 * m + 1
             now, m = np.minimum(now[:k], now[m : m + k]), 2 * m
 
-    def hashes(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[first + size] - self.sums[first]) * self.down[first] + np.asarray(size, np.int64).astype(np.uint64))
-
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places and hashes of all windows of some runs."""
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of all windows of some runs, and their digests in two parts."""
         at = ragged(self.first[runs], self.size[runs])
-        return at, self.hashes(at, self.length)
+        found = digests(self.raw, at, at + self.length, 3)
+        return at, found[:, :2].copy().view(np.uint64).ravel(), found[:, 2].astype(np.uint64)
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray, words: int) -> np.ndarray:
+    """BLAKE2b of the stretches raw[start:end], in words of 32 bits: a polynomial can take structured strings for one another, this cannot be made to."""
+    size = 4 * words
+    out = [blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist())]
+    return np.frombuffer(b"".join(out), np.uint32).reshape(-1, words)
 
 
 def _parts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -197,7 +204,8 @@ def _marks(runs: Runs, flags: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.n
 
 def _window_entries(length: int, shards: int):
     def run(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
-        own, seen, hashes = _arrays(flags), set(), [np.zeros(0, np.uint64)]
+        own, seen = _arrays(flags), set()
+        keys, subs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         wanted = CONTESTED | FIRST
         if (own[2] & wanted == wanted).any():
             for _, data, at in _parts(texts):
@@ -209,30 +217,27 @@ def _window_entries(length: int, shards: int):
                     if pair not in seen:
                         seen.add(pair)
                         chosen.append(k)
-                hashes.append(runs.windows(np.array(chosen, np.int64))[1])
-        hashes = np.concatenate(hashes)
+                _, key_, sub_ = runs.windows(np.array(chosen, np.int64))
+                keys.append(key_)
+                subs.append(sub_)
+        keys, subs = np.concatenate(keys), np.concatenate(subs)
         release()
-        none = np.zeros(len(hashes), np.uint64)
-        return _rows(key[0].as_py(), shards, *batch_entries(hashes, none, none.astype(np.uint8)))
+        return _rows(key[0].as_py(), shards, *batch_entries(keys, subs, np.zeros(len(keys), np.uint8)))
 
     return run
 
 
 def _remove(length: int, whole_characters: bool):
     def run(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
-        own, (windows, _, _) = _arrays(flags, 1), _arrays(flags, 2)
+        own, (windows, parts, _) = _arrays(flags, 1), _arrays(flags, 2)
         out = []
         for part, data, at in _parts(texts):
             n = len(data)
             runs = Runs(data, at, length)
             mark = _marks(runs, own)
             whole = np.flatnonzero(mark & REPEATED)
-            place, hashes = runs.windows(np.flatnonzero(mark & (REPEATED | CONTESTED) == CONTESTED))
-            if len(windows):
-                found = windows[np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)] == hashes
-                place = place[found]
-            else:
-                place = place[:0]
+            place, key_, sub_ = runs.windows(np.flatnonzero(mark & (REPEATED | CONTESTED) == CONTESTED))
+            place = place[pair_index(windows, parts, key_, sub_)[2] >= 0] if len(windows) else place[:0]
             depth = np.zeros(n + 1, np.int64)
             np.add.at(depth, np.concatenate([runs.first[whole], place]), 1)
             np.add.at(depth, np.concatenate([runs.first[whole] + runs.size[whole] - 1 + length, place + length]), -1)
@@ -266,14 +271,13 @@ def _remove(length: int, whole_characters: bool):
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """(id, n_bytes, starts, ends, kept, and the columns named to be carried): the removed spans of each text and the bytes that stay.
 
-    Batches and shards are as many as ``spark.sql.shuffle.partitions``, which should
-    let a batch of texts, and the hashes of a batch or shard, fit a task.  With
+    Batches and shards are as many as ``spark.sql.shuffle.partitions``, or more where a batch would have
+    more than its share of the files' bytes, so a batch of texts, and the digests of a batch or shard, fit a task.  With
     ``whole_characters``, a character that loses a byte goes whole, so what stays is text.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(0)
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    n = parts_for(df)
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(0)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     # with a table that is read again for each of the three passes, one shuffle of texts does
     rows = pack_texts(rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))).repartition(n, "batch").persist(StorageLevel.DISK_ONLY)
     texts = rows.select("batch", "text")
