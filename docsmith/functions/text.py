@@ -93,10 +93,12 @@ def title_case(x: Column) -> Column:
 def truncate_bytes(x: Column, limit: int | Column) -> Column:
     """At most that many bytes, cut between characters; white space before a cut goes."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    # a character has four bytes at most
-    lengths = F.sequence(F.greatest(F.lit(0), (limit / 4).cast("int")), F.greatest(F.lit(0), limit))
-    longest = F.array_max(F.filter(lengths, lambda n: F.octet_length(F.substring(x, F.lit(1), n)) <= limit))
-    return F.when(F.octet_length(x) <= limit, x).otherwise(F.regexp_replace(F.substring(x, F.lit(1), longest), rf"{WS}+\z", ""))
+    raw = x.cast("binary")
+    # a cut stands before a byte that starts a character, at most three bytes back
+    inside = lambda k: F.substring(F.hex(F.substring(raw, k, F.lit(1))), 1, 1).isin("8", "9", "A", "B")
+    longest = F.when(~inside(limit + 1), limit).when(~inside(limit), limit - 1).when(~inside(limit - 1), limit - 2).otherwise(limit - 3)
+    cut = F.substring(raw, F.lit(1), F.greatest(longest, F.lit(0))).cast("string")
+    return F.when(F.octet_length(x) <= limit, x).otherwise(F.regexp_replace(cut, rf"{WS}+\z", ""))
 
 
 def sanitize_component(x: Column) -> Column:
@@ -153,10 +155,16 @@ def level_range(x: Column) -> Column:
 
 
 def strip_markup(x: Column) -> Column:
-    """Text without tags, the common entities resolved one kind after the other, blanks collapsed."""
-    for _ in range(2):
-        x = F.regexp_replace(x, r"<[^<>]*>", "")
-    x = F.regexp_replace(x, r"(?s)<.*\z|>", "")
+    """Text without tags, nested however deep, the common entities resolved one kind after the other, blanks collapsed."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(so_far: Column, piece: Column) -> Column:
+        depth = F.when(piece == "<", so_far["depth"] + 1).when(piece == ">", F.greatest(so_far["depth"] - 1, F.lit(0))).otherwise(so_far["depth"])
+        shown = ~piece.isin("<", ">") & (so_far["depth"] == 0)
+        return F.struct(depth.alias("depth"), F.when(shown, F.concat(so_far["out"], piece)).otherwise(so_far["out"]).alias("out"))
+
+    outside = F.aggregate(F.regexp_extract_all(x, F.lit(r"([<>]|[^<>]+)"), F.lit(1)), start, step)["out"]
+    x = F.when(x.rlike("[<>]"), outside).otherwise(x)
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#160;", " ")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     return collapse(x)

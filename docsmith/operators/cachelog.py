@@ -48,5 +48,5 @@ def drop_unnamed(cache: DataFrame) -> DataFrame:
 def state(docs: DataFrame, cache: DataFrame) -> DataFrame:
     """One row: cached entries, documents that have one, documents that need one."""
     marked = docs.join(cache.select("hash", F.lit(True).alias("known")).distinct(), "hash", "left")
-    counts = marked.agg(F.count("known").alias("described"), F.count_if(F.col("known").isNull()).alias("pending"))
-    return counts.withColumn("entries", F.lit(cache.count()).cast("long"))
+    rows = marked.select(F.when(F.col("known"), "described").otherwise("pending").alias("what")).unionByName(cache.select(F.lit("entries").alias("what")))
+    return rows.agg(*(F.count_if(F.col("what") == n).alias(n) for n in ("described", "pending", "entries")))

@@ -14,24 +14,44 @@ def steps(path: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row of (path, hash, ...) for each hash: the shallowest path, then the first."""
-    columns = [F.col(c) for c in docs.columns]
+    """One row of (path, hash, ...) for each hash: the shallowest path, then the first.
+
+    Only hashes and paths are compared; the rows, whatever else they hold, are picked by path.
+    """
+    kept = _firsts(docs).select("first.path")
+    return docs.join(kept, "path", "left_semi").select(*docs.columns)
+
+
+def _place(size: Column) -> Column:
+    return F.struct(size.cast("long").alias("size"), steps(F.col("path")).alias("steps"), F.col("path"))
+
+
+def _firsts(docs: DataFrame) -> DataFrame:
     # a minimum is taken partly before the shuffle; a window would gather every copy
-    least = docs.groupBy("hash").agg(F.min(F.struct(F.size(steps(F.col("path"))).alias("depth"), steps(F.col("path")).alias("steps"), F.struct(*columns).alias("row"))).alias("m"))
-    return least.select("m.row.*")
+    return docs.groupBy("hash").agg(F.min(_place(F.size(steps(F.col("path"))))).alias("first"))
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(hash, kept, other, place): a row for every path that is left out, however many a hash has; place is its order of precedence."""
+    firsts = _firsts(docs).select("hash", F.col("first.path").alias("kept"))
+    rows = docs.select("hash", F.col("path").alias("other"), _place(F.size(steps(F.col("path")))).alias("place"))
+    return rows.join(firsts, "hash").filter("other <> kept").select("hash", "kept", "other", "place")
+
+
+def nested(copies: DataFrame) -> DataFrame:
+    """(hash, kept, others), others in order of precedence: for documents that one reads through, as a group becomes one row."""
+    groups = copies.groupBy("hash", "kept").agg(F.sort_array(F.collect_list("place")).alias("all"))
+    return groups.select("hash", "kept", F.transform("all", lambda p: p["path"]).alias("others"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """(hash, kept, others) for each hash with several paths, others in order of precedence."""
-    rank = F.struct(F.size(steps(F.col("path"))).alias("depth"), steps(F.col("path")).alias("steps"), F.col("path"))
-    groups = docs.groupBy("hash").agg(F.sort_array(F.collect_list(rank)).alias("all")).filter(F.size("all") > 1)
-    paths = F.transform("all", lambda r: r["path"])
-    return groups.select("hash", F.get(paths, F.lit(0)).alias("kept"), F.slice(paths, 2, 1 << 30).alias("others"))
+    """(hash, kept, others) for each hash with several paths."""
+    return nested(exact_copies(docs))
 
 
-def surplus(groups: DataFrame) -> DataFrame:
+def surplus(copies: DataFrame) -> DataFrame:
     """How many copies are left out."""
-    return groups.agg(F.coalesce(F.sum(F.size("others")), F.lit(0)).cast("long").alias("duplicates"))
+    return copies.agg(F.count("*").alias("duplicates"))
 
 
 def contested(docs: DataFrame, by: str = "page_count") -> DataFrame:
@@ -47,21 +67,21 @@ def with_leader(docs: DataFrame, tolerance: float = 0.05, min_chars: int = 500)
     follow.  Without, documents follow a leader whose size they are within the tolerance of; the
     distance is to the leader only, and in order of size that makes each follower's
     group one stretch.  The stretches are found on the distinct sizes of each page
-    count, which are few however many documents there are.
+    count: eight bytes for each, however many documents have it.
     """
     keyed = docs.withColumn("text_key", text_key(F.col("text"), min_chars)) if "text_key" not in docs.columns else docs
     head = F.struct((-F.col("bytes")).alias("size"), steps(F.col("path")).alias("steps"), F.col("path"))
     sizes = keyed.filter("text_key IS NULL").groupBy("page_count").agg(F.sort_array(F.collect_set("bytes"), asc=False).alias("sizes"))
 
     def fold(acc: Column, b: Column) -> Column:
-        last = F.element_at(acc, -1)["lead"]
+        last = F.element_at(acc, -1)
         spread = ((last - b).cast("float") / F.greatest(last, F.lit(1)).cast("float")).cast("float")
-        near = spread <= F.lit(tolerance).cast("float")
-        return F.concat(acc, F.array(F.struct(b.alias("bytes"), F.when(near, F.element_at(acc, -1)["lead"]).otherwise(b).alias("lead"))))
+        return F.when(spread <= F.lit(tolerance).cast("float"), acc).otherwise(F.concat(acc, F.array(b)))
 
-    first = F.transform(F.slice("sizes", 1, 1), lambda b: F.struct(b.cast("long").alias("bytes"), b.cast("long").alias("lead")))
-    rest = F.slice("sizes", 2, 1 << 30)
-    leads = sizes.select("page_count", F.explode(F.aggregate(rest, first, fold)).alias("s")).select(F.col("page_count").alias("__pages"), F.col("s.bytes").alias("__bytes"), F.col("s.lead").alias("lead"))
+    # the fold holds leaders only, each a tolerance below the one before: some hundreds at most
+    leaders = F.aggregate(F.slice("sizes", 2, 1 << 30), F.slice("sizes", 1, 1), fold)
+    led = sizes.select("page_count", F.explode("sizes").alias("__bytes"), leaders.alias("leaders"))
+    leads = led.select(F.col("page_count").alias("__pages"), "__bytes", F.array_min(F.filter("leaders", lambda x: x >= F.col("__bytes"))).alias("lead"))
     joined = keyed.join(leads, F.col("page_count").eqNullSafe(F.col("__pages")) & (F.col("bytes") == F.col("__bytes")) & F.col("text_key").isNull(), "left")
     group = F.coalesce(F.col("text_key"), F.concat(F.lit("size:"), F.col("lead").cast("string")))
     grouped = joined.withColumn("__group", group).drop("__pages", "__bytes", "lead")
@@ -70,9 +90,9 @@ def with_leader(docs: DataFrame, tolerance: float = 0.05, min_chars: int = 500)
 
 
 def near_dedup(docs: DataFrame, tolerance: float = 0.05, min_chars: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, (hash, kept, others) of the groups that were folded)."""
+    """(kept rows, (hash, kept, other, place) of those that were folded)."""
     led = with_leader(docs, tolerance, min_chars)
     kept = led.filter(F.col("leader") == F.col("path"))
-    others = led.filter(F.col("leader") != F.col("path")).groupBy("leader").agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("size"), steps(F.col("path")).alias("steps"), F.col("path")))).alias("all"))
-    groups = kept.select("hash", F.col("path").alias("kept")).join(others, F.col("kept") == F.col("leader"))
-    return kept.drop("leader"), groups.select("hash", "kept", F.transform("all", lambda r: r["path"]).alias("others"))
+    others = led.filter(F.col("leader") != F.col("path")).select("leader", F.col("path").alias("other"), _place(-F.col("bytes")).alias("place"))
+    copies = others.join(kept.select("hash", F.col("path").alias("kept")), F.col("kept") == F.col("leader"))
+    return kept.drop("leader"), copies.select("hash", "kept", "other", "place")

@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import UNSORTED
-from ..functions.text import WS, file_name, quoted, sanitize_folder, title_case
+from ..functions.text import WS, file_name, let, quoted, sanitize_folder, title_case
+from ..sources.shared import settled
 from .catalog import f32
 
+BLOCK = 1024
 EXACT, MISC, CLOSEST = "system and type match a leaf exactly", "no leaf for this document type; filed under the system", "closest leaf by keyword overlap"
 
 
@@ -22,25 +24,34 @@ def overlap(leaf: Column, hay: Column) -> Column:
 def file_documents(digests: DataFrame, leaves: DataFrame) -> DataFrame:
     """Digests with folder, confidence and reason: the exact leaf, else the system's Other, else the closest leaf.
 
-    The taxonomy has at most a few dozen leaves by design, so it goes along as one array a
-    row: no join by condition, no shuffle.
+    The first two are joins by name.  Only the documents that neither finds are held against all leaves, by an
+    expression over blocks of BLOCK leaves: a taxonomy has a few dozen, and a leaf more for each system that it leaves out.
     """
-    row = leaves.agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).first()
-    all_leaves = F.array(*(F.lit(x) for x in row["leaves"])) if row["leaves"] else F.expr("cast(array() as array<string>)")
+    known = leaves.select("leaf").distinct()
     exact = F.concat_ws("/", "game_system", title_case(F.col("doc_type")))
     misc = F.concat_ws("/", "game_system", F.lit("Other"))
+    named = digests.withColumn("__exact", exact).withColumn("__misc", misc)
+    named = named.join(known.withColumnRenamed("leaf", "__e"), F.col("__exact") == F.col("__e"), "left")
+    named = named.join(known.withColumnRenamed("leaf", "__m"), F.col("__misc") == F.col("__m"), "left")
     hay = F.lower(F.concat_ws(" ", "game_system", "doc_type", "title"))
-    # of equal overlaps the last leaf wins
-    scored = F.transform(all_leaves, lambda leaf, k: F.struct(overlap(leaf, hay).alias("n"), k.alias("k"), leaf.alias("leaf")))
-    closest = F.coalesce(F.array_max(scored)["leaf"], F.lit("Other"))
     own = F.col("confidence").cast("float")
-    is_exact, is_misc = F.array_contains(all_leaves, exact), F.array_contains(all_leaves, misc)
     lowered = lambda by: F.greatest((own - f32(by)).cast("float"), f32(0.0))
-    return (
-        digests.withColumn("folder", F.when(is_exact, exact).when(is_misc, misc).otherwise(closest))
+    is_exact, is_misc = F.col("__e").isNotNull(), F.col("__m").isNotNull()
+    rows = (
+        named.withColumn("folder", F.coalesce("__e", "__m", F.lit("Other")))
         .withColumn("reason", F.when(is_exact, EXACT).when(is_misc, MISC).otherwise(CLOSEST))
         .withColumn("filing_confidence", F.when(is_exact, own).when(is_misc, lowered(0.15)).otherwise(lowered(0.3)).cast("float"))
     )
+    best = F.lit(None).cast("struct<n:int,leaf:string>")
+    names = sorted(r["leaf"] for r in known.toLocalIterator())
+    for a in range(0, len(names), BLOCK):
+        # of equal overlaps the last leaf wins
+        block = F.array(*(F.lit(x) for x in names[a : a + BLOCK]))
+        scored = F.array_max(F.transform(block, lambda leaf: F.struct(overlap(leaf, F.col("__hay")).alias("n"), leaf.alias("leaf"))))
+        best = F.greatest(best, scored)
+    rows = rows.withColumn("__hay", hay)
+    rows = rows.withColumn("folder", F.when(is_exact | is_misc, F.col("folder")).otherwise(F.coalesce(best["leaf"], F.lit("Other"))))
+    return rows.drop("__exact", "__misc", "__e", "__m", "__hay")
 
 
 def gate(filings: DataFrame, min_confidence: float = 0.45) -> DataFrame:
@@ -97,7 +108,8 @@ def assign_paths(filings: DataFrame) -> DataFrame:
     all, are numbered by rank: ranks come from counts of sorted ranges, so a title
     that a third of all documents share is no group of one task.  The others are settled in order by family.
     """
-    claims = candidates(filings).withColumn("__family", _family(F.col("dest")))
+    # names are made once; what follows reads them several times
+    claims = settled(candidates(filings), "claims").withColumn("__family", _family(F.col("dest")))
     odd = claims.filter(F.col("dest").rlike(NUMBERED)).select(F.col("__family").alias("__odd")).distinct()
     plain = claims.join(odd, F.col("__family") == F.col("__odd"), "left_anti")
     numbered = ranked(plain, "dest").withColumn("dest", _numbered(F.col("dest"), F.col("__rank"))).drop("__rank", "__family")
@@ -112,14 +124,25 @@ def assign_paths(filings: DataFrame) -> DataFrame:
     return numbered.unionByName(rest.groupBy("__family").applyInArrow(one, schema).drop("__family"))
 
 
+#: Into how many ranges of paths a hot value is split.
+RANGES = 64
+
+
 def ranked(rows: DataFrame, by: str) -> DataFrame:
     """Rows with __rank, 1, 2, ... within equal ``by`` in the order of paths.
 
-    A window over ``by`` alone would gather a hot value in one task.  Rows are split by a
-    prefix of the path instead: each value is ranked within salted ranges
-    of its paths, and the ranges' counts, which are few, give the offsets.
+    A window over ``by`` alone would gather a hot value in one task.  Rows are split by
+    ranges of the path instead, whose bounds are RANGES - 1 paths of the table itself, drawn evenly by hash: each value is
+    ranked within its ranges, and the ranges' counts, which are few, give the offsets.
     """
-    salted = rows.withColumn("__range", F.substring(F.array_join(F.split("path", "/"), "\x00"), 1, 24))
+    drawn = rows.select("path").orderBy(F.xxhash64("path"), "path").limit(RANGES - 1).collect()  # a fixed number
+    # with the least character between them, steps are in order as their path is
+    bounds = sorted({r["path"].replace("/", "\x00") for r in drawn if r["path"] is not None}, key=str.encode)
+    place = F.lit(0)
+    if bounds:
+        own = F.replace("path", F.lit("/"), F.lit("\x00"))
+        place = let(own, lambda x: F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= x)))
+    salted = rows.withColumn("__range", place)
     inside = Window.partitionBy(by, "__range").orderBy(F.split("path", "/"))
     counts = salted.groupBy(by, "__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import LINE_TOLERANCE
+from ..functions.tables import LINE_TOLERANCE, SKIPS
 from ..functions.text import attribute, plausible_heading, strip_markup
 
 ELEMENT = r'(?s)(<page [^>]*>|<fontspec [^>]*>|<text [^>]*>.*?</text>)'
@@ -124,10 +124,11 @@ def tree(entries: DataFrame) -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = entries.withColumn("__i", F.row_number().over(order) - 1)
     placed = placed.withColumn("depth", (F.col("__i") + F.least(F.lit(0), F.min(F.col("level") - F.col("__i")).over(so_far))).cast("int")).drop("__i")
-    # the last entry so far at each depth, as a map that later depths replace
-    trail = F.sort_array(F.collect_list(F.struct("seq", "depth")).over(so_far), asc=False)
-    parent = F.get(F.filter(trail, lambda e: (e["depth"] < F.col("depth")) & (e["seq"] < F.col("seq"))), F.lit(0))["seq"]
-    placed = placed.withColumn("parent", parent)
+    # the parent is the last entry so far of the depth above: entries and possible parents of a depth, in order
+    lane = placed.select(F.explode(F.array(F.struct(F.col("depth").alias("lane"), F.lit(True).alias("own")), F.struct((F.col("depth") + 1).alias("lane"), F.lit(False).alias("own")))).alias("l"), "doc", "seq")
+    above = Window.partitionBy("doc", "l.lane").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parents = lane.withColumn("parent", F.last(F.when(~F.col("l.own"), F.col("seq")), ignorenulls=True).over(above)).filter("l.own").select("doc", "seq", "parent")
+    placed = placed.join(parents, ["doc", "seq"])
     siblings = Window.partitionBy("doc", "parent").orderBy("seq")
     return placed.withColumn("prev", F.lag("seq").over(siblings)).withColumn("next", F.lead("seq").over(siblings))
 
@@ -135,16 +136,17 @@ def tree(entries: DataFrame) -> DataFrame:
 def with_counts(placed: DataFrame) -> DataFrame:
     """Tree entries with first and last child and the count of entries below.
 
-    Entries below one are those up to the next of its depth or less.
+    Entries below one are those up to the next of its depth or less: the next in the order of all that are no deeper.
     """
-    every = placed.groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("seq", "depth")).alias("__all"))
-    joined = placed.join(every, F.col("doc") == F.col("__of")).drop("__of")
-    stops = F.transform(F.filter("__all", lambda e: (e["seq"] > F.col("seq")) & (e["depth"] <= F.col("depth"))), lambda e: e["seq"])
-    stopped = joined.withColumn("__stop", F.array_min(stops))
-    inside = F.filter("__all", lambda e: (e["seq"] > F.col("seq")) & F.coalesce(e["seq"] < F.col("__stop"), F.lit(True)))
+    order = Window.partitionBy("doc").orderBy("seq")
+    numbered = placed.withColumn("__i", F.row_number().over(order))
+    deepest = placed.groupBy(F.col("doc").alias("__of")).agg(F.max("depth").alias("__deepest"), F.count("*").alias("__n"))
+    numbered = numbered.join(deepest, F.col("doc") == F.col("__of")).drop("__of")
+    lanes = numbered.select("doc", "seq", "depth", "__i", "__n", F.explode(F.sequence("depth", "__deepest")).alias("__lane"))
+    stop = F.lead("__i").over(Window.partitionBy("doc", "__lane").orderBy("__i"))
+    counted = lanes.withColumn("__stop", stop).filter("depth = __lane").select("doc", "seq", (F.coalesce("__stop", F.col("__n") + 1) - F.col("__i") - 1).cast("int").alias("below"))
     children = placed.groupBy("doc", F.col("parent").alias("__parent")).agg(F.min("seq").alias("first_child"), F.max("seq").alias("last_child")).withColumnRenamed("doc", "__doc").filter("__parent IS NOT NULL")
-    counted = stopped.withColumn("below", F.size(inside)).drop("__all", "__stop")
-    return counted.join(children, (F.col("doc") == F.col("__doc")) & (F.col("seq") == F.col("__parent")), "left").drop("__doc", "__parent")
+    return placed.join(counted, ["doc", "seq"]).join(children, (F.col("doc") == F.col("__doc")) & (F.col("seq") == F.col("__parent")), "left").drop("__doc", "__parent")
 
 
 def within_pages(entries: DataFrame, last_page: str = "last_page") -> DataFrame:
@@ -160,9 +162,32 @@ def page_objects(entries: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def outline_status(docs: DataFrame, cached: DataFrame, found: DataFrame, min_pages: int = 20, force: bool = False) -> DataFrame:
-    """(doc, status): derive, or why not: known already, too short, no headings."""
+    """(doc, status): derive, or why not: known already, unreadable, encrypted, with an outline of its own, too short, no headings.
+
+    docs may say so in columns unreadable, encrypted and indexed.
+    """
     known = cached.select("doc", F.lit(True).alias("known")).distinct()
     any_heading = found.select("doc", F.lit(True).alias("found")).distinct()
     joined = docs.join(known, "doc", "left").join(any_heading, "doc", "left")
-    status = F.when(F.col("known") & F.lit(not force), "cached").when(F.coalesce("page_count", F.lit(0)) < min_pages, "too_short").when(F.col("found").isNull(), "no_headings").otherwise("derive")
+    said = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in docs.columns else F.lit(False)
+    status = F.when(F.col("known") & F.lit(not force), "cached")
+    for column, why in (("unreadable", "unreadable"), ("encrypted", "encrypted"), ("indexed", "already_indexed")):
+        status = status.when(said(column), why)
+    status = status.when(F.coalesce("page_count", F.lit(0)) < min_pages, "too_short").when(F.col("found").isNull(), "no_headings").otherwise("derive")
     return joined.select("doc", status.alias("status"))
+
+
+def skip_reason(status: Column) -> Column:
+    """What is said about a document that gets no outline."""
+    return F.create_map(*(F.lit(x) for pair in SKIPS.items() for x in pair))[status]
+
+
+def derive(layouts: DataFrame, docs: DataFrame, cached: DataFrame, min_ratio: float = 1.6, max_depth: int = 3, min_pages: int = 20, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((doc, entries) of the documents whose outline is made now, (doc, status) of all) from layouts (doc, xml)."""
+    found = nest(headings(text_runs(layouts), min_ratio), max_depth)
+    inside = within_pages(found.join(docs.select("doc", F.col("page_count").alias("last_page")), "doc"))
+    status = outline_status(docs, cached, inside, min_pages, force)
+    entry = F.struct("seq", F.struct(F.col("text").alias("title"), "page", F.col("level").cast("int").alias("level")).alias("e"))
+    wanted = inside.join(status.filter("status = 'derive'"), "doc", "left_semi")
+    entries = wanted.groupBy("doc").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    return entries.select("doc", F.transform("all", lambda x: x["e"]).alias("entries")), status

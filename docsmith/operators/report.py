@@ -38,7 +38,7 @@ def document_lines(assignments: DataFrame) -> DataFrame:
 
 
 def summary(assignments: DataFrame, leaves: DataFrame, duplicates: DataFrame, unfiled: DataFrame) -> DataFrame:
-    """One row: folders, filed, unsorted, renamed, duplicates, unreadable."""
+    """One row: folders, filed, unsorted, renamed, duplicates (rows of copies), unreadable."""
     main = assignments.agg(
         F.count_if(F.col("leaf") != UNSORTED).alias("filed"),
         F.count_if(F.col("leaf") == UNSORTED).alias("unsorted"),
@@ -47,7 +47,7 @@ def summary(assignments: DataFrame, leaves: DataFrame, duplicates: DataFrame, un
     parts = [
         main.select(F.map_from_arrays(F.array(*(F.lit(c) for c in main.columns)), F.array(*main.columns)).alias("m")),
         leaves.agg(F.create_map(F.lit("folders"), F.count("*")).alias("m")),
-        duplicates.agg(F.create_map(F.lit("duplicates"), F.coalesce(F.sum(F.size("others")), F.lit(0)).cast("long")).alias("m")),
+        duplicates.agg(F.create_map(F.lit("duplicates"), F.count("*")).alias("m")),
         unfiled.agg(F.create_map(F.lit("unreadable"), F.count("*")).alias("m")),
     ]
     rows = parts[0]

@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import condense, scanned
+from ..functions.text import condense, scanned, text_key
 from ..operators import cachelog, catalog, dedupe, filing, report, taxonomy
+from ..sources.shared import settled
 from .backend import Backend, Rules
 from .config import Config
 
 
 @dataclass
 class Plan:
-    """A plan as tables: assignments (hash, path, dest, leaf, title, confidence, reason), leaves, duplicates, unfiled."""
+    """A plan as tables: assignments (hash, path, dest, leaf, title, confidence, reason), leaves, duplicates (hash, kept, other, place), unfiled.
+
+    described has the digests of this run, as they came, for the digest log.
+    """
 
     assignments: DataFrame
     leaves: DataFrame
     duplicates: DataFrame
     unfiled: DataFrame
     digests: DataFrame
+    described: DataFrame
 
     def summary(self) -> DataFrame:
         return report.summary(self.assignments, self.leaves, self.duplicates, self.unfiled)
@@ -32,45 +36,49 @@ class Plan:
 
 
 def probe(docs: DataFrame, config: Config) -> DataFrame:
-    """Documents with their text condensed and whether they are scans."""
+    """Documents with their text condensed, a key of the whole text, and whether they are scans."""
     text = condense(F.coalesce("text", F.lit("")), config.extract.max_chars)
-    return docs.withColumn("full_text", F.col("text")).withColumn("text", text).withColumn("scanned", scanned(F.col("text"), config.extract.scanned_threshold))
+    return docs.withColumn("text_key", text_key(F.col("text"), config.dedupe.min_text_chars)).withColumn("scanned", scanned(F.col("text"), config.extract.scanned_threshold)).withColumn("text", text)
 
 
 def build_plan(docs: DataFrame, config: Config | None = None, backend: Backend | None = None, cache: DataFrame | None = None, limit: int | None = None) -> Plan:
     """The plan for documents (path, hash, bytes, page_count, file_name, pdf_title, text).
 
     cache: digests by hash from earlier runs, with ``seq``; only documents without one are
-    described.  limit takes the first documents by path once exact copies are out.
+    described.  limit takes the first documents by path once exact copies are out.  Texts are
+    condensed and hashed where they are read; joins move keys.
     """
     config, backend = config or Config(), backend or Rules()
-    duplicates = dedupe.exact_groups(docs)
-    unique = dedupe.exact_dedup(docs)
+    duplicates = dedupe.exact_copies(docs.select("path", "hash"))
+    unique = dedupe.exact_dedup(probe(docs, config))
     if limit is not None:
-        unique = unique.orderBy(F.split("path", "/")).limit(limit)
+        first = dedupe.exact_dedup(docs.select("path", "hash")).orderBy(F.split("path", "/")).limit(limit)
+        unique = unique.join(first.select("path"), "path", "left_semi")
     pending, known = unique, None
     if cache is not None:
         latest = cachelog.rekey(cachelog.last_wins(cache), unique)
         known, pending = cachelog.split_pending(unique, latest.drop("seq"))
+    about = ["hash", "path", "bytes", "page_count", "text_key"]
     fields = ["title", "game_system", "doc_type", "setting", "level_range", "publisher", "topics", "summary", "confidence"]
-    digests = backend.digest(probe(pending, config), config).select("hash", "path", *fields)
+    # a document is described once, whatever reads it below
+    described = settled(backend.digest(pending, config).select(*about, *fields), "described")
+    digests = described
     if known is not None:
-        digests = digests.unionByName(known.select("hash", "path", *fields))
-    unfiled = unique.join(digests.select("hash"), "hash", "left_anti").select("path", F.lit("no answer").alias("reason"))
+        digests = digests.unionByName(known.select("hash", *fields).join(unique.select(*about), "hash").select(*about, *fields))
+    unfiled = settled(unique.select("hash", "path").join(digests.select("hash"), "hash", "left_anti").select("path", F.lit("no answer").alias("reason")), "unfiled")
     digests = catalog.finish(digests, config.systems.aliases)
-    digests = digests.join(unique.select("hash", "bytes", "page_count", "text"), "hash")
     if config.dedupe.near_duplicates:
         digests, folded = dedupe.near_dedup(digests, config.dedupe.size_tolerance, config.dedupe.min_text_chars)
         duplicates = duplicates.unionByName(folded)
-    # a document is described once, whatever reads it below; lost parts are worked out again
-    digests = digests.drop("text", "text_key").persist(StorageLevel.DISK_ONLY)
-    leaves = taxonomy.complete(backend.design(digests, config), digests)
-    filings = filing.gate(backend.file(digests, leaves, config), config.taxonomy.min_confidence).persist(StorageLevel.DISK_ONLY)
+        duplicates = settled(duplicates, "duplicates")
+    digests = settled(digests.drop("text_key"), "digests")
+    leaves = settled(taxonomy.complete(backend.design(digests, config), digests), "leaves")
+    filings = settled(filing.gate(backend.file(digests, leaves, config), config.taxonomy.min_confidence), "filings")
     folded = taxonomy.fold_thin(filings, config.taxonomy.min_docs_per_leaf)
     leaves = taxonomy.leaves_after(leaves, filings, folded, config.taxonomy.min_docs_per_leaf)
-    placed = filing.assign_paths(folded)
+    placed = settled(filing.assign_paths(folded), "placed")
     assignments = placed.select("hash", "path", "dest", F.col("folder").alias("leaf"), "title", F.col("filing_confidence").alias("confidence"), "reason")
-    return Plan(assignments, leaves, duplicates, unfiled, digests)
+    return Plan(assignments, leaves, duplicates, unfiled, digests, described)
 
 
 def plan_document(plan: Plan, source_root: str, library_root: str, mode: str) -> DataFrame:
@@ -78,7 +86,7 @@ def plan_document(plan: Plan, source_root: str, library_root: str, mode: str) ->
     rows = lambda df, order: df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c != order])))).alias("j")).first()["j"]
     spark = plan.assignments.sparkSession
     body = [("source_root", source_root), ("library_root", library_root), ("mode", mode)]
-    parts = {"assignments": rows(plan.assignments, "dest"), "leaves": rows(plan.leaves, "leaf"), "duplicates": rows(plan.duplicates, "kept"), "unfiled": rows(plan.unfiled, "path")}
+    parts = {"assignments": rows(plan.assignments, "dest"), "leaves": rows(plan.leaves, "leaf"), "duplicates": rows(dedupe.nested(plan.duplicates), "kept"), "unfiled": rows(plan.unfiled, "path")}
     text = "{" + ", ".join([f'"{k}": {_quote(v)}' for k, v in body] + [f'"{k}": {v}' for k, v in parts.items()]) + "}"
     return spark.createDataFrame([(text,)], "plan string")
 

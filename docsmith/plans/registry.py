@@ -62,7 +62,7 @@ def q_exact_dup_groups(spark, sf):
 
 @query(_GROUPS + " SELECT CAST(coalesce(sum(len(p) - 1), 0) AS BIGINT) AS duplicates FROM g")
 def q_surplus_copies(spark, sf):
-    return dedupe.surplus(dedupe.exact_groups(rel.documents(spark, sf)))
+    return dedupe.surplus(dedupe.exact_copies(rel.documents(spark, sf)))
 
 
 @query(W("docs") + " SELECT path, page_count FROM docs QUALIFY count(*) OVER (PARTITION BY page_count) > 1")
@@ -99,7 +99,7 @@ def q_near_dup_kept(spark, sf):
 
 @query(_LEADERS + ", o AS (SELECT leader, array_to_string(list(path ORDER BY bytes DESC, string_split(path, '/')), '|') AS others FROM final WHERE path <> leader GROUP BY leader) SELECT f.hash, f.path AS kept, o.others FROM o JOIN final f ON f.path = o.leader")
 def q_near_dup_groups(spark, sf):
-    return dedupe.near_dedup(rel.documents(spark, sf))[1].withColumn("others", F.array_join("others", "|"))
+    return dedupe.nested(dedupe.near_dedup(rel.documents(spark, sf))[1]).withColumn("others", F.array_join("others", "|"))
 
 
 @query(W("docs") + ", kept AS (SELECT hash, path FROM docs QUALIFY row_number() OVER (PARTITION BY hash ORDER BY len(string_split(path, '/')), string_split(path, '/')) = 1) SELECT path FROM kept ORDER BY string_split(path, '/') LIMIT 25")
@@ -140,7 +140,7 @@ def q_sanitize_folder(spark, sf):
     return rel.read(spark, sf, "pages").select("page_id", text.sanitize_folder(F.col("url")).alias("folder"))
 
 
-@query(f"SELECT p_partkey, {rel.sql_component('p_name')} || '.pdf' AS name FROM part")
+@query(f"SELECT p_partkey, {rel.sql_file_name('p_name')} AS name FROM part")
 def q_file_name(spark, sf):
     return rel.read(spark, sf, "part").select("p_partkey", text.file_name(F.col("p_name"), F.lit("in/source.PDF")).alias("name"))
 
@@ -175,9 +175,13 @@ def q_title_or_stem(spark, sf):
     return rel.digests(spark, sf).select("path", text.title_or_stem(F.col("title"), F.col("path")).alias("title"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^<>]*>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', ''''), '&#160;', ' '), '\s+', ' ', 'g'), ' ') AS title FROM pages")
+_SHOWN = "regexp_replace(html, '<[^<>]*>', '', 'g')"
+_PLAIN = f"replace(replace(replace(replace(replace(replace({_SHOWN}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#160;', ' ')"
+
+
+@query(f"SELECT page_id, {rel.sql_collapse(_PLAIN)} AS shown FROM pages")
 def q_strip_markup(spark, sf):
-    return rel.read(spark, sf, "pages").select("page_id", text.strip_markup(F.regexp_extract("html", r"<title>(.*?)</title>", 1)).alias("title"))
+    return rel.read(spark, sf, "pages").select("page_id", text.strip_markup(F.col("html")).alias("shown"))
 
 
 @query(W("runs") + " SELECT doc, seq, (length(trim(text)) BETWEEN 3 AND 80) AND len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: length(regexp_replace(w, '[^\\pL]', '', 'g')) >= 2)) > 0 AS heading FROM runs")
@@ -305,14 +309,13 @@ def q_leaves_after(spark, sf):
     return taxonomy.leaves_after(leaves, gated, taxonomy.fold_thin(gated)).distinct()
 
 
-_PATHS = W("docs", "digests") + f""", named AS (SELECT path, game_system || '/' || {rel.sql_component("split_part(title, ' ', 1)")} || '.pdf' AS claim FROM digests),
+_PATHS = W("docs", "digests") + f""", named AS (SELECT path, game_system || '/' || {rel.sql_file_name("title")} AS claim FROM digests),
 numbered AS (SELECT path, claim, row_number() OVER (PARTITION BY claim ORDER BY string_split(path, '/')) AS n FROM named)"""
 
 
 @query(_PATHS + " SELECT path, CASE WHEN n = 1 THEN claim ELSE regexp_replace(claim, '\\.pdf$', '') || ' (' || n || ').pdf' END AS dest FROM numbered")
 def q_assign_paths(spark, sf):
-    d = rel.digests(spark, sf).withColumn("folder", F.col("game_system")).withColumn("title", F.substring_index("title", " ", 1))
-    return filing.assign_paths(d).select("path", "dest")
+    return filing.assign_paths(rel.digests(spark, sf).withColumn("folder", F.col("game_system"))).select("path", "dest")
 
 
 # The digest log
@@ -392,25 +395,50 @@ def q_large_runs(spark, sf):
     return outline.large_runs(rel.runs(spark, sf)).select("doc", "seq", "text")
 
 
-@query()
+def _lines(source: str) -> str:
+    """Tables of the lines that the runs of a table make: first which runs stand in a line, then the runs of a line joined one by one."""
+    return f""", placed AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, baseline, seq) AS i FROM {source}),
+lined AS (SELECT doc, i, page, baseline AS first, 1 AS line FROM placed WHERE i = 1 UNION ALL
+  SELECT p.doc, p.i, p.page, CASE WHEN p.page = l.page AND abs(p.baseline - l.first) <= 4 THEN l.first ELSE p.baseline END, CASE WHEN p.page = l.page AND abs(p.baseline - l.first) <= 4 THEN l.line ELSE l.line + 1 END
+  FROM lined l JOIN placed p ON p.doc = l.doc AND p.i = l.i + 1),
+across AS (SELECT p.*, l.line, row_number() OVER (PARTITION BY p.doc, l.line ORDER BY p."left", p.baseline, p.seq) AS k FROM lined l JOIN placed p ON p.doc = l.doc AND p.i = l.i),
+joined AS (SELECT doc, line, k, page, baseline, seq, size, top, "left", text FROM across WHERE k = 1 UNION ALL
+  SELECT j.doc, j.line, a.k, j.page, j.baseline, j.seq, greatest(j.size, a.size), CASE WHEN ends_with(j.text, a.text) THEN j.top ELSE least(j.top, a.top) END, j."left",
+    CASE WHEN ends_with(j.text, a.text) THEN j.text WHEN length(string_split(j.text, ' ')[-1]) = 1 AND regexp_matches(a.text, '^\\p{{Lu}}') THEN j.text || a.text ELSE j.text || ' ' || a.text END
+  FROM joined j JOIN across a ON a.doc = j.doc AND a.line = j.line AND a.k = j.k + 1),
+lines AS (SELECT * FROM joined QUALIFY k = max(k) OVER (PARTITION BY doc, line))"""
+
+
+def _headers(source: str) -> str:
+    """Tables of the lines of a table that do not repeat the line kept last."""
+    return f""", marked AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top, seq) AS i FROM {source}),
+kept AS (SELECT doc, i, page AS kp, text AS kt, true AS keep FROM marked WHERE i = 1 UNION ALL
+  SELECT m.doc, m.i, CASE WHEN m.text = k.kt AND m.page - k.kp <= 1 THEN k.kp ELSE m.page END, CASE WHEN m.text = k.kt AND m.page - k.kp <= 1 THEN k.kt ELSE m.text END, NOT (m.text = k.kt AND m.page - k.kp <= 1)
+  FROM kept k JOIN marked m ON m.doc = k.doc AND m.i = k.i + 1),
+stayed AS (SELECT m.*, CAST(row_number() OVER (PARTITION BY m.doc ORDER BY m.i) - 1 AS INTEGER) AS pos FROM kept k JOIN marked m ON m.doc = k.doc AND m.i = k.i WHERE k.keep)"""
+
+
+_RUNS = W("runs").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_RUNS + _lines("runs") + ' SELECT doc, page, baseline, seq, size, top, "left", text FROM lines')
 def q_join_lines(spark, sf):
     return outline.join_lines(rel.runs(spark, sf))
 
 
-@query()
-def q_headings(spark, sf):
-    return outline.headings(rel.runs(spark, sf), 1.2)
+_PLAUSIBLE = "(length(trim(text)) BETWEEN 3 AND 80) AND len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: length(regexp_replace(w, '[^\\pL]', '', 'g')) >= 2)) > 0"
+_LARGE = """, chars AS (SELECT doc, size, sum(length(text)) AS chars FROM runs GROUP BY 1, 2), body AS (SELECT doc, size AS body FROM chars QUALIFY row_number() OVER (PARTITION BY doc ORDER BY chars DESC, size DESC) = 1),
+large AS (SELECT runs.* FROM runs JOIN body USING (doc) WHERE body > 0 AND size >= CAST(body * CAST(1.2 AS FLOAT) AS FLOAT))"""
 
 
-_HEADERS = W("runs").replace("WITH ", "WITH RECURSIVE ", 1) + """, marked AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, top, seq) AS i, page, seq, substr(text, 1, 1) AS t FROM runs),
-kept AS (SELECT doc, i, page, t, page AS kp, t AS kt, true AS keep FROM marked WHERE i = 1 UNION ALL
-  SELECT m.doc, m.i, m.page, m.t, CASE WHEN m.t = k.kt AND m.page - k.kp <= 1 THEN k.kp ELSE m.page END, CASE WHEN m.t = k.kt AND m.page - k.kp <= 1 THEN k.kt ELSE m.t END, NOT (m.t = k.kt AND m.page - k.kp <= 1) FROM kept k JOIN marked m ON m.doc = k.doc AND m.i = k.i + 1)"""
+@query(_RUNS + _LARGE + _lines("large") + f", likely AS (SELECT doc, page, seq, size, top, text FROM lines WHERE {_PLAUSIBLE})" + _headers("likely") + " SELECT doc, pos AS seq, page, top, size, text FROM stayed")
+def q_headings(spark, sf):
+    return outline.headings(rel.runs(spark, sf), 1.2)
 
 
-@query(_HEADERS + " SELECT doc, page, t AS text, CAST(row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS INTEGER) AS seq FROM kept WHERE keep")
+@query(_RUNS + _headers("runs") + " SELECT doc, page, text, pos AS seq FROM stayed")
 def q_running_header(spark, sf):
-    lines = rel.runs(spark, sf).withColumn("text", F.substring("text", 1, 1))
-    return outline.drop_running_headers(lines).select("doc", "page", "text", "seq")
+    return outline.drop_running_headers(rel.runs(spark, sf)).select("doc", "page", "text", "seq")
 
 
 _NESTED = W("runs") + ", nested AS (SELECT doc, seq, page, text, CAST(least(dense_rank() OVER (PARTITION BY doc ORDER BY size DESC) - 1, 2) AS INTEGER) AS level FROM headings)"
@@ -522,7 +550,7 @@ def q_document_lines(spark, sf):
 @query(_ASSIGNED + ", g AS (SELECT count(*) - 1 AS n FROM docs GROUP BY hash HAVING count(*) > 1) SELECT (SELECT count(DISTINCT leaf) FROM assigned) AS folders, (SELECT count(*) FROM assigned) AS filed, CAST(0 AS BIGINT) AS unsorted, (SELECT count(*) FROM assigned WHERE regexp_extract(dest, '[^/]*$') <> split_part(path, '/', 3)) AS renamed, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM g) AS duplicates, (SELECT count(*) FROM docs WHERE bytes < 100) AS unreadable")
 def q_plan_summary(spark, sf):
     a, d = _assigned(spark, sf), rel.documents(spark, sf)
-    return report.summary(a, a.select("leaf").distinct(), dedupe.exact_groups(d), d.filter("bytes < 100").select("path"))
+    return report.summary(a, a.select("leaf").distinct(), dedupe.exact_copies(d), d.filter("bytes < 100").select("path"))
 
 
 @query("SELECT string_split(r, ' from ')[1] AS why, count(*) AS documents FROM (SELECT event_type || ' failed' || CASE WHEN value > 10 THEN ' from user ' || user_id || ' from there' ELSE '' END AS r FROM events) GROUP BY 1")
@@ -613,11 +641,10 @@ def q_first_of_each(spark, sf):
 # Files
 
 
-@query(W("docs") + " SELECT path, split_part(pdf_title, ' ', 1) AS pdf_title, 'A: B' AS pdf_author, CAST(NULL AS VARCHAR) AS pdf_subject, page_count FROM docs")
+@query(W("docs") + f" SELECT path, nullif({rel.sql_collapse('pdf_title')}, '') AS pdf_title, 'A: B' AS pdf_author, CAST(NULL AS VARCHAR) AS pdf_subject, page_count FROM docs")
 def q_info_fields(spark, sf):
     d = rel.documents(spark, sf)
-    word = F.substring_index("pdf_title", " ", 1)
-    info = F.concat(F.lit("Title:   "), word, F.lit("\nAuthor: A: B\nSubject:  \nProducer: none\nno colon\nPages:  "), F.col("page_count").cast("string"), F.lit("\n"))
+    info = F.concat(F.lit("Title:   "), F.col("pdf_title"), F.lit("\nAuthor: A: B\nSubject:  \nProducer: none\nno colon\nPages:  "), F.col("page_count").cast("string"), F.lit("\n"))
     return files.info_fields(d.select("path", info.alias("info"))).select("path", "pdf_title", "pdf_author", "pdf_subject", "page_count")
 
 

@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("long").alias("bytes"),
         F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"),
         F.ceil(F.col("n_chars") / 1800).cast("int").alias("page_count"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 130).alias("pdf_title"),
+        F.substring_index("text", "\n", 1).alias("pdf_title"),
         "text",
         "doc_id",
         "lang",
@@ -45,14 +45,14 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path",
         "bytes",
         "page_count",
-        F.when(F.length("pdf_title") > 40, F.substring("pdf_title", 1, 40)).otherwise("unknown").alias("title"),
+        F.when(F.length("pdf_title") > 40, F.col("pdf_title")).otherwise("unknown").alias("title"),
         F.col("source").alias("game_system"),
         F.concat(F.lit("texts in "), F.col("lang")).alias("doc_type"),
         F.lit("unknown").alias("setting"),
         F.lit("unknown").alias("level_range"),
         F.when(F.col("bytes") > 2000, "House of Prose").otherwise("unknown").alias("publisher"),
         F.array("lang", "lang", "source").alias("topics"),
-        F.substring("pdf_title", 1, 20).alias("summary"),
+        F.col("pdf_title").alias("summary"),
         confidence.alias("confidence"),
     )
 
@@ -121,18 +121,29 @@ def sql_title_case(x: str) -> str:
     return f"array_to_string(list_transform(list_filter(string_split({sql_collapse(x)}, ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
+def sql_cut(x: str, limit: int) -> str:
+    """The longest start of that many bytes at most, without blanks at a cut."""
+    longest = f"list_max(list_filter(generate_series(0, {limit}), lambda n: strlen(substr({x}, 1, CAST(n AS BIGINT))) <= {limit}))"
+    return f"CASE WHEN strlen({x}) <= {limit} THEN {x} ELSE regexp_replace(substr({x}, 1, {longest}), '{_SPACE}+$', '') END"
+
+
 def sql_component(x: str) -> str:
-    """For names that are short enough not to be cut."""
     clean = sql_collapse(f"regexp_replace({x}, '[/\\\\:*?\"<>|\\x00-\\x1F\\x7F]', ' ', 'g')")
     clean = f"regexp_replace(regexp_replace({clean}, '^[. ]+', ''), '[. ]+$', '')"
-    return f"CASE WHEN {clean} = '' THEN 'Untitled' WHEN upper({clean}) IN ('CON', 'PRN', 'AUX', 'NUL') THEN {clean} || '_' ELSE {clean} END"
+    return f"list_transform(list_transform([{clean}], lambda a: {sql_cut('a', 180)}), lambda c: CASE WHEN c = '' THEN 'Untitled' WHEN upper(c) IN ('CON', 'PRN', 'AUX', 'NUL') THEN c || '_' ELSE c END)[1]"
+
+
+def sql_file_name(x: str) -> str:
+    """The name of a title's file, for sources that end in .pdf."""
+    bare = "CASE WHEN lower(s) LIKE '%.pdf' THEN " + sql_strip("substr(s, 1, length(s) - 4)") + " ELSE s END"
+    return f"list_transform(list_transform([{sql_component(x)}], lambda s: coalesce(nullif({bare}, ''), 'Untitled')), lambda b: {sql_cut('b', 169)} || '.pdf')[1]"
 
 
 SQL = {
     "docs": """docs AS (SELECT source || '/' || lang || '/' || doc_id || '.pdf' AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS bytes, source || '_' || doc_id || '.pdf' AS file_name,
-  CAST(ceil(n_chars / 1800) AS INTEGER) AS page_count, substr(split_part(text, chr(10), 1), 1, 130) AS pdf_title, text, doc_id, lang, source FROM documents)""",
-    "digests": """digests AS (SELECT hash, path, bytes, page_count, CASE WHEN length(pdf_title) > 40 THEN substr(pdf_title, 1, 40) ELSE 'unknown' END AS title, source AS game_system, 'texts in ' || lang AS doc_type,
-  'unknown' AS setting, 'unknown' AS level_range, CASE WHEN bytes > 2000 THEN 'House of Prose' ELSE 'unknown' END AS publisher, [lang, lang, source] AS topics, substr(pdf_title, 1, 20) AS summary,
+  CAST(ceil(n_chars / 1800) AS INTEGER) AS page_count, split_part(text, chr(10), 1) AS pdf_title, text, doc_id, lang, source FROM documents)""",
+    "digests": """digests AS (SELECT hash, path, bytes, page_count, CASE WHEN length(pdf_title) > 40 THEN pdf_title ELSE 'unknown' END AS title, source AS game_system, 'texts in ' || lang AS doc_type,
+  'unknown' AS setting, 'unknown' AS level_range, CASE WHEN bytes > 2000 THEN 'House of Prose' ELSE 'unknown' END AS publisher, [lang, lang, source] AS topics, pdf_title AS summary,
   CAST(CAST(0.25 AS FLOAT) + CAST(0.1 AS FLOAT) * CAST(least(page_count, 4) AS FLOAT) AS FLOAT) AS confidence FROM docs)""",
     "log": "log AS (SELECT CAST(user_id AS VARCHAR) AS hash, ts, event_id, event_type AS title, CAST(value AS FLOAT) AS confidence FROM events)",
     "runs": f"""tags AS (SELECT page_id AS doc, regexp_extract_all(html, '{TAGS}', 1) AS tag, regexp_extract_all(html, '{TAGS}', 2) AS raw FROM pages),

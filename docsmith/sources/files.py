@@ -88,13 +88,58 @@ def append_log(digests: DataFrame, path: str) -> None:
 
 
 def rewrite_log(spark: SparkSession, digests: DataFrame, path: str) -> None:
-    """Put a whole new log in place of the old one: written beside it, then renamed."""
-    staging = path.rstrip("/") + ".staging"
-    digests.write.mode("overwrite").json(staging)
+    """Put a whole new log in place of the old one: written beside it, then renamed; the old one stays aside until then.
+
+    A run that breaks off between the two renames leaves the old log under ``.old``, where the next reader finds it.
+    """
+    path = path.rstrip("/")
+    digests.select(*(c.split()[0] for c in LOG_SCHEMA.split(", "))).write.mode("overwrite").json(f"{path}.staging/part=0")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(hadoop(path), True)
-    system.rename(hadoop(staging), hadoop(path))
+    system.delete(hadoop(path + ".old"), True)
+    system.rename(hadoop(path), hadoop(path + ".old"))
+    system.rename(hadoop(path + ".staging"), hadoop(path))
+    system.delete(hadoop(path + ".old"), True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def open_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The digest log with ``seq``, or None where there is none yet."""
+    path = path.rstrip("/")
+    for place in (path, path + ".old"):
+        if _exists(spark, place):
+            return read_log(spark, place + "/*")
+    return None
+
+
+def clear_log(spark: SparkSession, path: str) -> None:
+    """Forget all digests."""
+    for place in (path.rstrip("/"), path.rstrip("/") + ".old"):
+        found = spark._jvm.org.apache.hadoop.fs.Path(place)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+OUTLINE_SCHEMA = "hash string, entries array<struct<title:string,page:int,level:int>>"
+
+
+def read_outlines(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, entries) of the outline cache, the latest of each hash; a missing cache is empty, and so are lines that make no sense."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], OUTLINE_SCHEMA)
+    lines = spark.read.text(path.rstrip("/") + "/*").select("value", F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("seq"))
+    parsed = lines.select(F.from_json("value", OUTLINE_SCHEMA).alias("o"), "seq").filter("o.hash IS NOT NULL AND o.entries IS NOT NULL")
+    latest = parsed.groupBy("o.hash").agg(F.max(F.struct("seq", "o")).alias("m"))
+    return latest.select("m.o.*")
+
+
+def append_outlines(outlines: DataFrame, path: str) -> None:
+    """Put outlines into the cache; later ones of a hash replace the earlier."""
+    part = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
+    outlines.select("hash", "entries").write.json(f"{path.rstrip('/')}/part={part}")
 
 
 def write_plan(plan: dict, path: str) -> None:

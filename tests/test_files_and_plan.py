@@ -5,6 +5,8 @@ import sys
 
 import pytest
 
+from docsmith.functions import tables
+from docsmith.operators import dedupe, outline
 from docsmith.plans import backend, config
 from docsmith.plans.plan import build_plan, plan_document
 from docsmith.sources import files
@@ -91,7 +93,7 @@ def test_whole_plan(spark):
     assert set(got) == {f"in/adv{i}.pdf" for i in range(5)} | {"in/sp.pdf", "in/scan.pdf"}
     assert all(got[f"in/adv{i}.pdf"].leaf == "Pathfinder 1e/Adventure" for i in range(5))
     assert got["in/scan.pdf"].leaf == "_Unsorted"
-    assert [(r.kept, r.others) for r in plan.duplicates.collect()] == [("in/adv0.pdf", ["in/copy/adv0.pdf"])]
+    assert [(r.kept, r.others) for r in dedupe.nested(plan.duplicates).collect()] == [("in/adv0.pdf", ["in/copy/adv0.pdf"])]
     s = plan.summary().first()
     assert (s.filed + s.unsorted, s.duplicates, s.unreadable) == (7, 1, 0)
     assert len({r.dest for r in got.values()}) == 7
@@ -134,3 +136,40 @@ def test_the_rest_works_without_the_llm_folders(tmp_path):
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"], cwd=copy, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0 and out.stdout.split()[1:] == ["False", "True"], out.stderr
+
+
+def test_outline_cache_and_log(spark, tmp_path):
+    cache = str(tmp_path / "outlines")
+    assert files.read_outlines(spark, cache).count() == 0
+    files.append_outlines(spark.createDataFrame([("a", [("x", 1, 0)]), ("b", [("y", 1, 0)])], files.OUTLINE_SCHEMA), cache)
+    files.append_outlines(spark.createDataFrame([("a", [("z", 1, 0)])], files.OUTLINE_SCHEMA), cache)
+    (tmp_path / "outlines" / "part=0").mkdir()
+    (tmp_path / "outlines" / "part=0" / "x.json").write_text("no json\n{}\n")
+    assert {r.hash: r.entries[0].title for r in files.read_outlines(spark, cache).collect()} == {"a": "z", "b": "y"}
+    log = str(tmp_path / "log")
+    assert files.open_log(spark, log) is None
+    files.append_log(spark.createDataFrame([("h", "p", "t", *["u"] * 5, ["v"], "s", 0.5, "r")], files.LOG_SCHEMA), log)
+    old = files.open_log(spark, log)
+    files.rewrite_log(spark, old.unionByName(old), log)
+    assert files.open_log(spark, log).count() == 2
+    # a rewrite that broke off between its renames
+    os.rename(log, log + ".old")
+    assert files.open_log(spark, log).count() == 2
+    files.clear_log(spark, log)
+    assert files.open_log(spark, log) is None
+
+
+def test_derived_outlines(spark):
+    page = lambda n, rows: f'<page number="{n}">' + "".join(f'<text top="{t}" left="10" width="1" height="{h}" font="{f}">{x}</text>' for t, h, f, x in rows) + "</page>"
+    spec = '<fontspec id="0" size="30"/><fontspec id="1" size="10"/>'
+    body = "the body of the text that is there to be most of it " * 3
+    xml = spec + page(1, [(10, 30, 0, "Up the Hill"), (60, 10, 1, body)]) + page(2, [(10, 30, 0, "Down Again"), (60, 10, 1, body)]) + page(9, [(10, 30, 0, "Beyond the End")])
+    flat = spec + page(1, [(10, 10, 1, body)])
+    docs = spark.createDataFrame([("a", 8, False), ("b", 8, False), ("c", 5, False), ("d", 8, True), ("e", 8, False)], "doc string, page_count int, encrypted boolean")
+    layouts = spark.createDataFrame([("a", xml), ("b", flat), ("c", xml), ("d", xml), ("e", xml)], "doc string, xml string")
+    known = spark.createDataFrame([("e",)], "doc string")
+    found, status = outline.derive(layouts, docs, known, min_pages=6)
+    assert {r.doc: r.status for r in status.collect()} == {"a": "derive", "b": "no_headings", "c": "too_short", "d": "encrypted", "e": "cached"}
+    (row,) = found.collect()
+    assert row.doc == "a" and [(e.title, e.page, e.level) for e in row.entries] == [("Up the Hill", 1, 0), ("Down Again", 2, 0)]
+    assert {r.why for r in status.select(outline.skip_reason(status["status"]).alias("why")).collect()} == {None, *[tables.SKIPS[k] for k in ("no_headings", "too_short", "encrypted")]}

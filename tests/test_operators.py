@@ -50,14 +50,14 @@ def digest_of(spark, name, body, scanned=False, title=None):
 
 
 def test_rule_digests(spark):
-    d = digest_of(spark, "Skull & Shackles 6.pdf", "A Pathfinder adventure path")
-    assert (d.game_system, d.doc_type) == ("Pathfinder 1e", "adventure")
-    assert digest_of(spark, "100 Nordic Encounters.pdf", "d100 table of encounters").doc_type == "random tables"
-    assert digest_of(spark, "x.pdf", "An adventure for levels 5 to 10").level_range == "5-10"
-    scan = digest_of(spark, "Ghosts of Saltmarsh.pdf", "", True)
-    assert scan.confidence < 0.4 and scan.title == "Ghosts of Saltmarsh" and scan.game_system == "system neutral"
-    best = digest_of(spark, "D&D 5e spell guide.pdf", "Eberron for levels 1-5, by Paizo", title="  A Real Title ")
-    assert abs(best.confidence - 0.65) < 1e-6 and best.publisher == "Paizo" and best.title == "A Real Title"
+    d = digest_of(spark, "starfinder bestiary.pdf", "beasts of the outer belt")
+    assert (d.game_system, d.doc_type) == ("Starfinder", "bestiary")
+    assert digest_of(spark, "roll one.pdf", "a random table of weather").doc_type == "random tables"
+    assert digest_of(spark, "q.pdf", "a module, Levels 2 through 9").level_range == "2-9"
+    scan = digest_of(spark, "Hill Walks.pdf", "", True)
+    assert scan.confidence < 0.4 and scan.title == "Hill Walks" and scan.game_system == "system neutral"
+    best = digest_of(spark, "shadowrun gazetteer.pdf", "Golarion by Paizo, level 3 to 4", title="  A Given Title ")
+    assert abs(best.confidence - 0.65) < 1e-6 and best.publisher == "Paizo" and best.title == "A Given Title"
 
 
 def digests(spark, rows):
@@ -140,15 +140,15 @@ BODY = "this is the text of the page that goes on for a good while so that it co
 
 
 def test_headings(spark):
-    fonts = {0: 36, 1: 14}
-    a = xml([(1, [(50, 10, 36, 0, "Chapter 1: Beginnings"), (100, 10, 14, 1, BODY), (120, 10, 14, 1, BODY)]), (2, [(50, 10, 36, 0, "Chapter 2: <b>Endings</b>"), (100, 10, 14, 1, BODY)])], fonts)
-    assert heading_rows(spark, a) == [(1, "Chapter 1: Beginnings"), (2, "Chapter 2: Endings")]
-    caps = xml([(1, [(51, 73, 40, 0, "C"), (51, 160, 40, 0, "F"), (57, 94, 34, 2, "LASS"), (57, 187, 34, 2, "EATURES"), (200, 10, 10, 1, BODY)])], {0: 30, 1: 10, 2: 24})
-    assert heading_rows(spark, caps) == [(1, "CLASS FEATURES")]
-    shadow = xml([(1, [(50, 10, 30, 0, "Applied Sciences"), (51, 12, 30, 0, "Applied Sciences"), (200, 10, 10, 1, BODY)])], {0: 30, 1: 10})
-    assert heading_rows(spark, shadow) == [(1, "Applied Sciences")]
-    order = xml([(1, [(400, 10, 30, 0, "A Sidebar Aside"), (50, 10, 30, 0, "Chapter One Begins"), (200, 10, 10, 1, BODY)])], {0: 30, 1: 10})
-    assert heading_rows(spark, order) == [(1, "Chapter One Begins"), (1, "A Sidebar Aside")]
+    fonts = {0: 40, 1: 12}
+    a = xml([(1, [(60, 20, 40, 0, "Part One, the Hills"), (120, 20, 12, 1, BODY), (140, 20, 12, 1, BODY)]), (2, [(60, 20, 40, 0, "Part Two, <i>the Sea</i>"), (120, 20, 12, 1, BODY)])], fonts)
+    assert heading_rows(spark, a) == [(1, "Part One, the Hills"), (2, "Part Two, the Sea")]
+    caps = xml([(1, [(40, 60, 44, 0, "T"), (40, 150, 44, 0, "R"), (48, 90, 36, 2, "HE"), (48, 180, 36, 2, "IVER"), (220, 10, 10, 1, BODY)])], {0: 33, 1: 10, 2: 26})
+    assert heading_rows(spark, caps) == [(1, "THE RIVER")]
+    shadow = xml([(1, [(70, 30, 32, 0, "Winds and Tides"), (72, 31, 32, 0, "Winds and Tides"), (220, 10, 10, 1, BODY)])], {0: 32, 1: 10})
+    assert heading_rows(spark, shadow) == [(1, "Winds and Tides")]
+    order = xml([(1, [(400, 10, 30, 0, "Note on the Margin"), (50, 10, 30, 0, "Setting Out"), (200, 10, 10, 1, BODY)])], {0: 30, 1: 10})
+    assert heading_rows(spark, order) == [(1, "Setting Out"), (1, "Note on the Margin")]
     header = xml([(n, [(10, 10, 30, 0, "Heading"), (200, 10, 10, 1, BODY)]) for n in (4, 5, 6, 7)], {0: 30, 1: 10})
     assert heading_rows(spark, header) == [(4, "Heading"), (6, "Heading")]
     drop_cap = xml([(1, [(10, 10, 60, 0, "T"), (200, 10, 10, 1, BODY)])], {0: 60, 1: 10})
