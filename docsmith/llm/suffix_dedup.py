@@ -144,8 +144,14 @@ ENTRY = "shard int, batch int, key binary, sub binary, mark binary"
 FLAG = "batch int, kind int, key binary, sub binary, mark binary"
 
 
-def _rows(batch: int, shards: int, key: np.ndarray, sub: np.ndarray, mark: np.ndarray) -> pa.Table:
-    """A row for each shard that has entries; shards are ranges of the keys."""
+def subs_of(row: dict) -> np.ndarray:
+    """The second parts of a row's entries, which are half as wide as the keys where that is enough."""
+    return np.frombuffer(row["sub"], np.uint64 if len(row["sub"]) == len(row["key"]) else np.uint32).astype(np.uint64)
+
+
+def _rows(batch: int, shards: int, key: np.ndarray, sub: np.ndarray, mark: np.ndarray, narrow: bool = False) -> pa.Table:
+    """A row for each shard that has entries; shards are ranges of the keys.  With ``narrow``, subs of 32 bits are written as such."""
+    sub = sub.astype(np.uint32) if narrow else sub
     own = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     used, first = np.unique(own, return_index=True)
     cuts = [*first.tolist(), len(key)]
@@ -157,7 +163,7 @@ def _arrays(table: pa.Table, kind: int | None = None) -> tuple[np.ndarray, np.nd
     """The entries of several rows, by key and sub."""
     rows = [r for r in table.select(["key", "sub", "mark"] + ["kind"] * (kind is not None)).to_pylist() if kind is None or r["kind"] == kind]
     key = np.frombuffer(b"".join(r["key"] for r in rows), np.uint64)
-    sub = np.frombuffer(b"".join(r["sub"] for r in rows), np.uint64)
+    sub = np.concatenate([np.zeros(0, np.uint64), *(subs_of(r) for r in rows)])
     mark = np.frombuffer(b"".join(r["mark"] for r in rows), np.uint8)
     order = np.lexsort((sub, key))
     return key[order], sub[order], mark[order]
@@ -184,7 +190,7 @@ def _index(kind: int, wanted: int):
         family = Family()
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
         for r in rows:
-            family.add(np.frombuffer(r["key"], np.uint64), np.frombuffer(r["sub"], np.uint64), np.frombuffer(r["mark"], np.uint8), r["batch"])
+            family.add(np.frombuffer(r["key"], np.uint64), subs_of(r), np.frombuffer(r["mark"], np.uint8), r["batch"])
         level = family.all()
         keep = np.flatnonzero(level.mark & wanted)
         keep = keep[np.argsort(level.owner[keep], kind="stable")]
@@ -222,7 +228,7 @@ def _window_entries(length: int, shards: int):
                 subs.append(sub_)
         keys, subs = np.concatenate(keys), np.concatenate(subs)
         release()
-        return _rows(key[0].as_py(), shards, *batch_entries(keys, subs, np.zeros(len(keys), np.uint8)))
+        return _rows(key[0].as_py(), shards, *batch_entries(keys, subs, np.zeros(len(keys), np.uint8)), narrow=True)
 
     return run
 
