@@ -49,6 +49,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    system, at = _hadoop(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in any store that Spark reads."""
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
     spark = df.sparkSession

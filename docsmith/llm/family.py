@@ -5,19 +5,21 @@ tells apart entries of one key, ``owner`` is the batch.  Adding a batch of sorte
 entries merge-scans it against every level (binary searches for the few keys that
 meet, so a scan costs as the batch, not as the level) and marks matches on both
 sides.  Then levels of a size merge, as in a binary counter, so n batches leave about
-log n levels and an entry is moved log n times.
+log n levels and an entry is moved log n times.  Every entry has all its marks at any
+time, so levels need not be brought together to be read, and a family can be kept and taken up again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from .common import ragged
 
-#: Marks: the same key and sub elsewhere; another sub of the key elsewhere; the first of its key and sub. Others pass through.
-REPEATED, CONTESTED, FIRST = 1, 2, 4
+#: Marks: the same key and sub elsewhere; another sub of the key elsewhere; the first of its key and sub; windows given already. Others pass through.
+REPEATED, CONTESTED, FIRST, GIVEN = 1, 2, 4, 8
 
 
 def pair_index(keys: np.ndarray, subs: np.ndarray, key: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ class Family:
         """Mark what matches between a new batch and a level."""
         lo, hi, place = pair_index(level.key, level.sub, new.key, new.sub)
         same = np.flatnonzero(place >= 0)
-        new.mark[same] |= REPEATED
+        new.mark[same] = new.mark[same] & ~np.uint8(FIRST) | REPEATED
         level.mark[place[same]] |= REPEATED
         met = np.flatnonzero(hi > lo)
         differ = met[(level.sub[lo[met]] != new.sub[met]) | (level.sub[hi[met] - 1] != new.sub[met])]
@@ -73,7 +75,7 @@ class Family:
 
     def add(self, key: np.ndarray, sub: np.ndarray, mark: np.ndarray, owner: int) -> np.ndarray:
         """Add a batch, sorted by key and sub, each pair once; returns its marks so far."""
-        new = Level(key, sub, np.full(len(key), owner, np.int32), mark.copy())
+        new = Level(key, sub, np.full(len(key), owner, np.int32), mark | np.uint8(FIRST))
         if not len(key):
             return new.mark
         for level in self.levels:
@@ -84,22 +86,23 @@ class Family:
         self.levels.append(new)
         return marks
 
+    def marked(self, wanted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(owner, key, sub, mark) of the entries that carry a wanted mark, level by level."""
+        for level in self.levels:
+            keep = np.flatnonzero(level.mark & wanted)
+            keep = keep[np.argsort(level.owner[keep], kind="stable")]
+            owners, first = np.unique(level.owner[keep], return_index=True)
+            for owner, at in zip(owners.tolist(), np.split(keep, first[1:])):
+                yield owner, level.key[at], level.sub[at], level.mark[at]
+
     def all(self) -> Level:
-        """One level of everything, with the first of each pair (by owner) marked."""
+        """One level of everything."""
         if not self.levels:
             none = np.zeros(0, np.uint64)
             return Level(none, none, np.zeros(0, np.int32), np.zeros(0, np.uint8))
         out = self.levels[0]
         for level in self.levels[1:]:
             out = Level.merged(out, level)
-        order = np.lexsort((out.owner, out.sub, out.key))
-        out = Level(out.key[order], out.sub[order], out.owner[order], out.mark[order])
-        first = np.ones(len(out.key), bool)
-        first[1:] = (out.key[1:] != out.key[:-1]) | (out.sub[1:] != out.sub[:-1])
-        # what one copy of a pair has met, all have
-        group = np.cumsum(first) - 1
-        marks = np.bitwise_or.reduceat(out.mark, np.flatnonzero(first))
-        out.mark = marks[group] | np.where(first, FIRST, 0).astype(np.uint8)
         self.levels = [out]
         return out
 

@@ -21,6 +21,9 @@ called equal is told by the cryptographic one, with which structured strings do
 with each value once per batch, so a string that a third of all documents
 share is at most one entry a batch.  The texts are shuffled once.
 
+``remove_repeats`` takes a whole table and keeps nothing; ``SuffixIndex`` is the same family kept in a folder, to which later
+documents are added.
+
 Edge cases: a null or short text keeps all its bytes; copies of a long text are
 removed all, the first included; a text that repeats within itself counts as any other;
 repeated ids are separate rows; an empty table gives an empty result.
@@ -34,11 +37,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_texts, materialise, pack_texts, parts_for, ragged, release, slices, unpacked
-from .family import CONTESTED, FIRST, REPEATED, Family, batch_entries, pair_index
+from .common import exists, flat_texts, materialise, pack_texts, parts_for, ragged, release, remove, slices, unpacked
+from .family import CONTESTED, FIRST, GIVEN, REPEATED, Family, Level, batch_entries, pair_index
 
 LENGTH, GRAM = 200, 32
 SLICE = 1 << 20
@@ -182,22 +185,49 @@ def _run_entries(length: int, shards: int):
     return run
 
 
+def _add_rows(family: Family, table: pa.Table) -> None:
+    for r in sorted(table.to_pylist(), key=lambda r: r["batch"]):
+        family.add(np.frombuffer(r["key"], np.uint64), subs_of(r), np.frombuffer(r["mark"], np.uint8), r["batch"])
+
+
+def _flags(family: Family, kind: int, wanted: int) -> pa.Table:
+    rows = [(owner, kind, key.tobytes(), sub.tobytes(), mark.tobytes()) for owner, key, sub, mark in family.marked(wanted)]
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "kind", "key", "sub", "mark"])
+
+
 def _index(kind: int, wanted: int):
     """The family of a shard; gives each batch its entries that carry a wanted mark."""
 
     def run(table: pa.Table) -> pa.Table:
         release()
         family = Family()
-        rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        for r in rows:
-            family.add(np.frombuffer(r["key"], np.uint64), subs_of(r), np.frombuffer(r["mark"], np.uint8), r["batch"])
-        level = family.all()
-        keep = np.flatnonzero(level.mark & wanted)
-        keep = keep[np.argsort(level.owner[keep], kind="stable")]
-        owners, first = np.unique(level.owner[keep], return_index=True)
-        cuts = [*first.tolist(), len(keep)]
-        cut = lambda x: [x[keep[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table({"batch": pa.array(owners, pa.int32()), "kind": pa.array([kind] * len(owners), pa.int32()), "key": pa.array(cut(level.key), pa.binary()), "sub": pa.array(cut(level.sub), pa.binary()), "mark": pa.array(cut(level.mark), pa.binary())})
+        _add_rows(family, table)
+        return _flags(family, kind, wanted)
+
+    return run
+
+
+LEVEL = "level int, shard int, batch int, kind int, key binary, sub binary, mark binary, owner binary"
+
+
+def _grow(kind: int, wanted: int):
+    """The family of a shard with its kept levels taken up and new batches added; gives the levels, and as level -1 what carries a wanted mark."""
+
+    def run(key: tuple, kept: pa.Table, new: pa.Table) -> pa.Table:
+        release()
+        levels = sorted(kept.to_pylist(), key=lambda r: r["level"])
+        family = Family([Level(*(np.frombuffer(r[c], t).copy() for c, t in (("key", np.uint64), ("sub", np.uint64), ("owner", np.int32), ("mark", np.uint8)))) for r in levels])
+        _add_rows(family, new)
+        flags = _flags(family, kind, wanted)
+        out = [{"level": -1, "shard": key[0].as_py(), "owner": None} | r for r in flags.to_pylist()]
+        for k, level in enumerate(family.levels):
+            if kind == 1:
+                level.mark[level.mark & (CONTESTED | FIRST) == CONTESTED | FIRST] |= GIVEN
+            out.append({"level": k, "shard": key[0].as_py(), "batch": None, "kind": kind, "key": level.key.tobytes(), "sub": level.sub.tobytes(), "mark": level.mark.tobytes(), "owner": level.owner.tobytes()})
+        kinds = {"key": pa.binary(), "sub": pa.binary(), "mark": pa.binary(), "owner": pa.binary()}
+        names = ["level", "shard", "batch", "kind", "key", "sub", "mark", "owner"]
+        return pa.Table.from_pylist(out, pa.schema([(n, kinds.get(n, pa.int32())) for n in names]))
 
     return run
 
@@ -212,12 +242,12 @@ def _window_entries(length: int, shards: int):
     def run(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
         own, seen = _arrays(flags), set()
         keys, subs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        wanted = CONTESTED | FIRST
-        if (own[2] & wanted == wanted).any():
+        wanted, asked = CONTESTED | FIRST, CONTESTED | FIRST | GIVEN
+        if (own[2] & asked == wanted).any():
             for _, data, at in _parts(texts):
                 runs = Runs(data, at, length)
                 chosen = []
-                for k in np.flatnonzero(_marks(runs, own) & wanted == wanted).tolist():
+                for k in np.flatnonzero(_marks(runs, own) & asked == wanted).tolist():
                     # of copies within the batch, one
                     pair = (int(runs.key[k]), int(runs.sub[k]))
                     if pair not in seen:
@@ -291,7 +321,78 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flags = materialise(entries.repartition(n, "shard").groupBy("shard").applyInArrow(_index(1, REPEATED | CONTESTED), FLAG), "runs")
     windows = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_window_entries(length, n), ENTRY)
     flags = flags.unionByName(materialise(windows.repartition(n, "shard").groupBy("shard").applyInArrow(_index(2, REPEATED), FLAG), "windows"))
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    out = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length, whole_characters), schema)
+    out = _removed(rows, flags, length, whole_characters)
     return out.select(F.col("id").alias(id_col), "n_bytes", "starts", "ends", "kept", *(F.col(f"rest.c{k}").alias(c) for k, c in enumerate(carry)))
+
+
+def _removed(rows: DataFrame, flags: DataFrame, length: int, whole_characters: bool) -> DataFrame:
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, starts array<long>, ends array<long>, kept binary"
+    return rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_remove(length, whole_characters), schema)
+
+
+class SuffixIndex:
+    """The family kept in a folder, so that documents can be added by one call after another, of one session or several.
+
+    A call of ``add`` deals its documents to new batches, takes up the stored levels of each shard, merge-scans the
+    batches against them, merges levels of a size, and writes the levels again, since a match marks both sides.  Windows are made only
+    of runs that have become contested by the call, from the stored texts of the batches that hold them.  Each call writes
+    a folder of its own and counts once its last table is whole; a call that failed is overwritten by the next, and calls that run
+    at the same time are not provided for.  ``removals`` gives what ``remove_repeats`` would of all documents at once, or
+    only of those that the last call added: a document added earlier can lose bytes by one added later.
+
+    ``shards`` and ``length`` are fixed by the first call; shards, and batches of one call, are as in ``remove_repeats``
+    unless given, so name a number that fits the whole corpus to come.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, shards: int | None = None):
+        self.spark, self.path, self.length, self.shards = spark, path.rstrip("/"), length, shards
+        self.calls = 0
+        while exists(spark, f"{self._at(self.calls + 1)}/state/_SUCCESS"):
+            self.calls += 1
+        self.batches = 0
+        if self.calls:
+            self.length, self.shards, self.batches = spark.read.parquet(f"{self._at(self.calls)}/state").first()
+
+    def _at(self, call: int) -> str:
+        return f"{self.path}/call-{call:06d}"
+
+    def _levels(self, name: str) -> DataFrame:
+        if self.calls:
+            return self.spark.read.schema(LEVEL).parquet(f"{self._at(self.calls)}/{name}")
+        return self.spark.createDataFrame([], LEVEL)
+
+    def _texts(self, call: int) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self._at(k)}/texts" for k in range(1, call + 1)))
+
+    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Add documents; ids may come again, as rows of their own."""
+        n, call = parts_for(df), self.calls + 1
+        shards, here = self.shards or n, self._at(call)
+        rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.lit(0).alias("rest"))
+        batch = F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int") + F.lit(self.batches)
+        pack_texts(rows.withColumn("batch", batch)).repartition(n, "batch").write.mode("overwrite").parquet(f"{here}/texts")
+        new = self.spark.read.parquet(f"{here}/texts").select("batch", "text")
+        entries = new.groupBy("batch").applyInArrow(_run_entries(self.length, shards), ENTRY)
+        self._scan("runs", entries, _grow(1, REPEATED | CONTESTED), here)
+        flags = self.spark.read.schema(LEVEL).parquet(f"{here}/runs").filter("level = -1").select("batch", "kind", "key", "sub", "mark")
+        texts = self._texts(call).select("batch", "text")
+        windows = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_window_entries(self.length, shards), ENTRY)
+        self._scan("windows", windows, _grow(2, REPEATED), here)
+        state = self.spark.createDataFrame([(self.length, shards, self.batches + n)], "length int, shards int, batches int")
+        state.write.mode("overwrite").parquet(f"{here}/state")
+        before = self.calls
+        self.calls, self.shards, self.batches = call, shards, self.batches + n
+        for name in ("runs", "windows") if before else ():
+            remove(self.spark, f"{self._at(before)}/{name}")
+
+    def _scan(self, name: str, entries: DataFrame, grow, here: str) -> None:
+        grown = self._levels(name).filter("level >= 0").groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(grow, LEVEL)
+        grown.write.mode("overwrite").parquet(f"{here}/{name}")
+
+    def removals(self, last_only: bool = False, whole_characters: bool = False) -> DataFrame:
+        """(id, n_bytes, starts, ends, kept) of all documents, or of those of the last call."""
+        rows = self.spark.read.parquet(f"{self._at(self.calls)}/texts") if last_only else self._texts(self.calls)
+        flags = self._levels("runs").unionByName(self._levels("windows")).filter("level = -1").select("batch", "kind", "key", "sub", "mark")
+        if last_only:
+            flags = flags.join(rows.select("batch").distinct(), "batch", "left_semi")
+        return _removed(rows, flags, self.length, whole_characters).drop("rest")

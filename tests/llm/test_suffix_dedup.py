@@ -88,3 +88,24 @@ def test_levels_stay_few():
         key = np.arange(owner * 7, owner * 7 + 7, dtype=np.uint64)
         family.add(key, np.zeros(7, np.uint64), np.zeros(7, np.uint8), owner)
         assert len(family.levels) <= 8
+
+
+def test_documents_added_by_several_calls(spark, tmp_path):
+    texts = corpus(5)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    parts = [rows[:20], rows[20:23], [], rows[23:60], rows[60:]]
+    for part in parts:
+        # a new object each time: all that is known is in the folder
+        index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"), shards=3)
+        index.add(spark.createDataFrame(part, "doc_id long, text string"))
+    assert index.calls == len(parts)
+    raw, gone = brute(texts, 200)
+    want = {i: bytes(x for x, y in zip(r, g) if not y) for i, (r, g) in enumerate(zip(raw, gone))}
+    assert {r.id: bytes(r.kept) for r in index.removals().collect()} == want
+    assert {r.id: bytes(r.kept) for r in index.removals(last_only=True).collect()} == {i: want[i] for i, _ in parts[-1]}
+    # half way, only what had been added counts
+    half = suffix_dedup.SuffixIndex(spark, str(tmp_path / "half"), shards=3)
+    half.add(spark.createDataFrame(parts[0], "doc_id long, text string"))
+    half.add(spark.createDataFrame(parts[1], "doc_id long, text string"))
+    raw, gone = brute(texts[:23], 200)
+    assert {r.id: bytes(r.kept) for r in half.removals().collect()} == {i: bytes(x for x, y in zip(r, g) if not y) for i, (r, g) in enumerate(zip(raw, gone))}
