@@ -81,7 +81,7 @@ class Runs:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(LETTERS[data] * up[:n], out=self.sums[1:])
         none = np.zeros(0, np.int64)
-        self.first, self.size, self.key, self.sub, self.inward = none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        self.first, self.size, self.key, self.inward = none, none, none.astype(np.uint64), none.astype(bool)
         long = np.flatnonzero(np.diff(at) >= length)
         if not len(long):
             return
@@ -102,7 +102,6 @@ class Runs:
         again = grams[window] == value
         again[np.concatenate([head[1:], [len(window)]]) - 1] = False
         self.inward = np.logical_or.reduceat(again, head)
-        self.sub = digests(self.raw, self.first, self.first + self.size + length - 1, 2)[:, :2].copy().view(np.uint64).ravel()
 
     @staticmethod
     def _least(grams: np.ndarray, width: int) -> np.ndarray:
@@ -120,6 +119,11 @@ class Runs:
             k = len(grams) - 2 * m + 1
             now, m = np.minimum(now[:k], now[m : m + k]), 2 * m
 
+    def subs(self, runs: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The digests of all bytes of some runs."""
+        first, size = self.first[runs], self.size[runs]
+        return digests(self.raw, first, first + size + self.length - 1, 2).copy().view(np.uint64).ravel()
+
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places of all windows of some runs, and their digests in two parts."""
         at = ragged(self.first[runs], self.size[runs])
@@ -177,7 +181,7 @@ def _run_entries(length: int, shards: int):
         found = []
         for _, data, at in _parts(table):
             runs = Runs(data, at, length)
-            found.append({"key": runs.key, "sub": runs.sub, "inward": runs.inward})
+            found.append({"key": runs.key, "sub": runs.subs(), "inward": runs.inward})
         join = lambda name: np.concatenate([r[name] for r in found])
         release()
         return _rows(key[0].as_py(), shards, *batch_entries(join("key"), join("sub"), join("inward") * np.uint8(CONTESTED)))
@@ -232,10 +236,16 @@ def _grow(kind: int, wanted: int):
     return run
 
 
-def _marks(runs: Runs, flags: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def _marks(runs: Runs, flags: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The marks and subs of the runs; both are zero where no flag has the key, which saves most digests."""
     key, sub, mark = flags
-    _, _, place = pair_index(key, sub, runs.key, runs.sub)
-    return np.where(place >= 0, mark[place] if len(mark) else 0, 0).astype(np.uint8)
+    marks, subs = np.zeros(len(runs.key), np.uint8), np.zeros(len(runs.key), np.uint64)
+    near = np.flatnonzero(np.searchsorted(key, runs.key, "right") > np.searchsorted(key, runs.key, "left"))
+    if len(near):
+        subs[near] = runs.subs(near)
+        _, _, place = pair_index(key, sub, runs.key[near], subs[near])
+        marks[near] = np.where(place >= 0, mark[place], 0)
+    return marks, subs
 
 
 def _window_entries(length: int, shards: int):
@@ -243,13 +253,15 @@ def _window_entries(length: int, shards: int):
         own, seen = _arrays(flags), set()
         keys, subs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         wanted, asked = CONTESTED | FIRST, CONTESTED | FIRST | GIVEN
-        if (own[2] & asked == wanted).any():
+        own = tuple(x[own[2] & asked == wanted] for x in own)
+        if len(own[0]):
             for _, data, at in _parts(texts):
                 runs = Runs(data, at, length)
+                marks, run_subs = _marks(runs, own)
                 chosen = []
-                for k in np.flatnonzero(_marks(runs, own) & asked == wanted).tolist():
+                for k in np.flatnonzero(marks).tolist():
                     # of copies within the batch, one
-                    pair = (int(runs.key[k]), int(runs.sub[k]))
+                    pair = (int(runs.key[k]), int(run_subs[k]))
                     if pair not in seen:
                         seen.add(pair)
                         chosen.append(k)
@@ -270,7 +282,7 @@ def _remove(length: int, whole_characters: bool):
         for part, data, at in _parts(texts):
             n = len(data)
             runs = Runs(data, at, length)
-            mark = _marks(runs, own)
+            mark, _ = _marks(runs, own)
             whole = np.flatnonzero(mark & REPEATED)
             place, key_, sub_ = runs.windows(np.flatnonzero(mark & (REPEATED | CONTESTED) == CONTESTED))
             place = place[pair_index(windows, parts, key_, sub_)[2] >= 0] if len(windows) else place[:0]
