@@ -3,8 +3,8 @@
 A byte goes if it lies in a string of ``length`` bytes that starts anywhere else in
 the table too.  An index over every suffix of a corpus would be many times its
 size, so suffixes are sampled by content: the windows (strings of that length) of a text
-are dealt to runs that share their least hash of a gram of ``GRAM`` bytes.  Equal windows
-have equal least grams, so only runs of one gram can hold equal windows.
+are dealt to runs that share their least hash of a gram of ``GRAM`` bytes, or half the length
+if that is less.  Equal windows have equal least grams, so only runs of one gram can hold equal windows.
 
 1. Each batch of documents gives the sorted array of its runs: (least gram, hash of all
    bytes of the run).  Shards by ranges of the order keep a logarithmic
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import exists, flat_texts, materialise, pack_texts, parts_for, ragged, release, remove, slices, unpacked
 from .family import CONTESTED, FIRST, GIVEN, REPEATED, Family, Level, batch_entries, pair_index
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 96
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -75,8 +75,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Runs:
     """The runs of windows of a few texts that lie one after the other."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int = LENGTH):
         n, self.length, self.raw = len(data), length, data.tobytes()
+        gram = max(1, min(GRAM, length // 2))
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(LETTERS[data] * up[:n], out=self.sums[1:])

@@ -109,3 +109,29 @@ def test_documents_added_by_several_calls(spark, tmp_path):
     half.add(spark.createDataFrame(parts[1], "doc_id long, text string"))
     raw, gone = brute(texts[:23], 200)
     assert {r.id: bytes(r.kept) for r in half.removals().collect()} == {i: bytes(x for x, y in zip(r, g) if not y) for i, (r, g) in enumerate(zip(raw, gone))}
+
+
+@pytest.mark.parametrize("length", [1, 30])
+def test_short_lengths(spark, length):
+    texts = corpus(7)[:30] + ["", None, "ab", "ß"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw, gone = brute(texts, length)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, length=length).collect()}
+    assert got == {i: bytes(x for x, y in zip(r, g) if not y) for i, (r, g) in enumerate(zip(raw, gone))}
+
+
+def test_registered_query(spark, tmp_path):
+    import hashlib
+
+    from docsmith.llm import queries
+
+    texts = corpus(9)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = next(n for n in queries.queries() if n.startswith("op2_"))
+    rows = {r.doc_id: r for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    raw, gone = brute(texts, 200)
+    assert len(rows) == len(texts)
+    for i, (r, g) in enumerate(zip(raw, gone)):
+        spans = sum(1 for k in range(len(g)) if g[k] and (k == 0 or not g[k - 1]))
+        kept = bytes(x for x, y in zip(r, g) if not y)
+        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(r), sum(g), spans, hashlib.sha256(kept).hexdigest())
