@@ -11,7 +11,7 @@ what the edits before and after it allow; so each line is entered under its segm
 and probes, for its own length and the next shorter ones, the few substrings that can
 be such a segment (the multi-match-aware selection of the published Pass-Join method).
 1. Keys (length, segment number, content hash) of all distinct lines meet in sorted arrays by key
-   range (family.py); only keys under which different lines meet go on.
+   range; only keys under which different lines meet go on.
 2. Those lines' texts are fetched and dealt by key.  A key under which more than ``block`` lines meet (a start that
    very many lines have) is replaced: lines within t edits share two of t + 2 pieces, so they
    meet under pairs of pieces, which hardly any others share.  What is too large even so is split into pairs of blocks.
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, pack_texts, parts_for, ragged, release, slices, sorted_groups, unpacked
 from .edit_distance import within
-from .family import CONTESTED, Family, batch_entries
+from .family import CONTESTED, batch_entries
 from .graph import connected_components
 from .suffix_dedup import ENTRY, SLICE, _rows, mix, powers
 
@@ -220,13 +220,18 @@ def _pair_rows(threshold: int, per_edit: int):
 
 def _met(table: pa.Table) -> pa.Table:
     """(key, h, n): lines that meet others under a key that is a segment of one of them, and how many meet there."""
-    family = Family()
-    for r in table.to_pylist():
-        family.add(np.frombuffer(r["key"], np.uint64), np.frombuffer(r["sub"], np.uint64), np.frombuffer(r["mark"], np.uint8), 0)
-    level = family.all()
-    keep = np.flatnonzero(level.mark & CONTESTED)
+    key, sub, mark = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("key", np.uint64), ("sub", np.uint64), ("mark", np.uint8)))
+    # most keys stand alone; only the others need their lines in order
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    several = np.zeros(len(key), bool)
+    several[1:] = same
+    several[:-1] |= same
+    keep = order[several]
     # one entry for each pair
-    key, sub, mark = batch_entries(level.key[keep], level.sub[keep], level.mark[keep])
+    key, sub, mark = batch_entries(key[keep], sub[keep], mark[keep])
+    keep = np.flatnonzero(mark & CONTESTED)
+    key, sub, mark = key[keep], sub[keep], mark[keep]
     if len(key):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.concatenate([first, [len(key)]]))
@@ -234,7 +239,6 @@ def _met(table: pa.Table) -> pa.Table:
         key, sub, count = key[segment], sub[segment], np.repeat(count, count)[segment]
     else:
         count = np.zeros(0, np.int64)
-    del family, level
     release()
     return pa.table({"key": pa.array(key.view(np.int64)), "h": pa.array(sub.view(np.int64)), "n": pa.array(count.astype(np.int64))})
 
