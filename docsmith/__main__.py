@@ -1,8 +1,8 @@
-"""Command line: plan, show, apply, sort, undo, headings, bookmarks, metadata, doctor.
+"""Command line: extract, plan, show, apply, sort, undo, headings, bookmarks, metadata, doctor.
 
 Documents come as a Parquet table (path, hash, bytes, page_count, file_name, pdf_title, text), and layouts as one of
-(hash, page_count, xml), as text extraction is another program's work.  So is writing into documents: metadata and
-bookmarks say what there is to write, as JSON lines in the work folder.
+(hash, page_count, xml); extract makes both from the files below the source, by outside programs.  Writing into
+documents is another program's work: metadata and bookmarks say what there is to write, as JSON lines in the work folder.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .plans import config as settings
 from .plans.backend import Rules
 from .plans.doctor import doctor
 from .plans.plan import build_plan, plan_document
-from .sources import files
+from .sources import files, programs
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--library")
     p.add_argument("--work-dir", dest="work_dir")
     sub = p.add_subparsers(dest="command", required=True)
+    extract = sub.add_parser("extract", help="make the table of documents from the files below the source")
+    extract.add_argument("documents")
+    extract.add_argument("--layouts", help="make the table of layouts too")
     plan = sub.add_parser("plan")
     plan.add_argument("documents")
     plan.add_argument("--mode", choices=["hardlink", "symlink", "copy", "move"], default="hardlink")
@@ -129,7 +132,7 @@ def derive_outlines(session: SparkSession, config: settings.Config, layouts: str
         table = table.orderBy("doc").limit(limit)
     known = files.read_outlines(session, cache).withColumnRenamed("hash", "doc")
     b = config.bookmarks
-    found, status = outline.derive(table.select("doc", "xml"), table.drop("xml"), known, b.min_ratio, b.max_depth, b.min_pages if min_pages is None else min_pages, force)
+    found, status = outline.derive(table.select("doc", "xml"), table.drop("xml"), known, b.min_ratio, b.max_depth, b.min_pages if min_pages is None else min_pages, force, lambda h: Rules().refine_headings(h, config))
     counts = status.groupBy(F.coalesce(outline.skip_reason(F.col("status")), "status").alias("what")).count().collect()  # a few outcomes
     if not dry_run:
         files.append_outlines(found.withColumnRenamed("doc", "hash"), cache)
@@ -158,7 +161,15 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     config = settings.load(a.config, source=a.source, library=a.library, work_dir=a.work_dir)
     spark = lambda: SparkSession.builder.appName("docsmith").getOrCreate()
-    if a.command == "plan":
+    if a.command == "extract":
+        session = spark()
+        found = files.listing(session, config.source, [config.library, config.work_dir])
+        programs.documents(found, config.extract).write.mode("overwrite").parquet(a.documents)
+        made = session.read.parquet(a.documents)
+        if a.layouts:
+            programs.layouts(made.dropDuplicates(["hash"]), config.extract).write.mode("overwrite").parquet(a.layouts)
+        print(json.dumps({"documents": made.count()}))
+    elif a.command == "plan":
         print(json.dumps(make_plan(spark(), config, a.documents, a.mode, a.limit, a.rescan, a.redigest_below, a.redigest_unknown)))
     elif a.command == "sort":
         if (a.metadata or a.bookmarks) and not enrich.may_write(a.mode):

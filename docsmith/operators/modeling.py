@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ def chat(template: str, system: Column, user: Column) -> Column:
     return F.concat(F.lit(before), system, F.lit(between), user, F.lit(after))
 
 
+def chat_text(template: str, system: str, user: str) -> str:
+    return CHAT.get(template, CHAT["chatml"]) % (system, user)
+
+
 def label(prefix: str, path: Column) -> Column:
     name = stem(path)
     return F.when(name == "", prefix).otherwise(F.concat(F.lit(prefix + ":"), name))
@@ -72,11 +78,32 @@ def assign_prompt(leaves: list[str]) -> Column:
     return F.concat(F.lit("Folders:\n" + "".join(f"- {x}\n" for x in leaves) + "\nDocument:\n"), *parts, F.lit("- topics: "), F.array_join("topics", ", "), F.lit("\n- summary: "), F.col("summary"), F.lit("\n\nFile it.\n"))
 
 
+def heading_line() -> Column:
+    return F.concat(F.col("seq").cast("string"), F.lit(": "), F.col("text"), F.lit("  (page "), F.col("page").cast("string"), F.lit(")\n"))
+
+
+# what stands before and after the numbered lines
+ASK_HEADINGS = ("Lines of large type, in reading order:\n", "\nWhich are headings?\n")
+
+
+def headings_text(lines: list[str]) -> str:
+    return ASK_HEADINGS[0] + "".join(lines) + ASK_HEADINGS[1]
+
+
 def headings_prompt(found: DataFrame) -> DataFrame:
     """(doc, prompt): numbered lines with their pages."""
-    line = F.concat(F.col("seq").cast("string"), F.lit(": "), F.col("text"), F.lit("  (page "), F.col("page").cast("string"), F.lit(")\n"))
-    lines = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))).alias("all"))
-    return lines.select("doc", F.concat(F.lit("Lines of large type, in reading order:\n"), F.array_join(F.transform("all", lambda x: x["line"]), ""), F.lit("\nWhich are headings?\n")).alias("prompt"))
+    lines = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("seq", heading_line().alias("line")))).alias("all"))
+    return lines.select("doc", F.concat(F.lit(ASK_HEADINGS[0]), F.array_join(F.transform("all", lambda x: x["line"]), ""), F.lit(ASK_HEADINGS[1])).alias("prompt"))
+
+
+def picked(reply: str | None, known: set[int]) -> list[tuple[int, int]]:
+    """(line, level) for each pick of a reply that is among the known lines."""
+    try:
+        picks = json.loads(first_json(reply) or "[]")
+    except ValueError:
+        return []
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
+    return [(x["i"], min(x["l"], 255)) for x in picks if isinstance(x, dict) and whole(x.get("i")) and whole(x.get("l")) and x["i"] in known] if isinstance(picks, list) else []
 
 
 def _literal(text: str) -> str:

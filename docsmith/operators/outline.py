@@ -182,9 +182,13 @@ def skip_reason(status: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in SKIPS.items() for x in pair))[status]
 
 
-def derive(layouts: DataFrame, docs: DataFrame, cached: DataFrame, min_ratio: float = 1.6, max_depth: int = 3, min_pages: int = 20, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((doc, entries) of the documents whose outline is made now, (doc, status) of all) from layouts (doc, xml)."""
+def derive(layouts: DataFrame, docs: DataFrame, cached: DataFrame, min_ratio: float = 1.6, max_depth: int = 3, min_pages: int = 20, force: bool = False, refine=None) -> tuple[DataFrame, DataFrame]:
+    """((doc, entries) of the documents whose outline is made now, (doc, status) of all) from layouts (doc, xml).
+
+    refine: a function from headings with levels to the headings that stay.
+    """
     found = nest(headings(text_runs(layouts), min_ratio), max_depth)
+    found = refine(found) if refine else found
     inside = within_pages(found.join(docs.select("doc", F.col("page_count").alias("last_page")), "doc"))
     status = outline_status(docs, cached, inside, min_pages, force)
     entry = F.struct("seq", F.struct(F.col("text").alias("title"), "page", F.col("level").cast("int").alias("level")).alias("e"))
