@@ -5,9 +5,9 @@ are then summed by host (map-side first, so a host with a third of all rows is
 a few partial rows), the hosts' failure rates are shrunk by a beta prior fitted
 to all hosts by moments, and the verdicts go back to the documents.
 
-The prior: over hosts with rates r = f / n, mean m and population variance v of r, its
-strength is s = m (1 - m) / v - 1, at least 1 and at most 1000 (1000 when v is 0 or
-m is 0 or 1); the shrunk rate of a host is (f + m s) / (n + s).
+The prior: over hosts with rates r = f / n, m and v are the mean and population variance of r, h is the mean
+of 1 / n, and q = v / (m (1 - m)).  Its strength is s = (1 - q) / (q - h), at least 1 and at most 1000 (1000 when
+q is not above h, or m is 0 or 1); the shrunk rate of a host is (f + m s) / (n + s).
 
 Edge cases: a null text has no words and fails for its length; documents whose host is
 null form a host of their own; a text with fewer words than a window repeats nothing;
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: The separators of words, as a character class.
 BLANK = r"[\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEATED_PERCENT, MAX_HOST_RATE = 50, 50, 0.5
+#: Below this, a difference of variances is rounding.
+ROUNDING = 1e-9
 
 
 def let(value: Column, body) -> Column:
@@ -79,13 +81,25 @@ def document_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return flat.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words")))
 
 
+def prior_strength(m: float | None, v: float | None, h: float | None) -> float:
+    """How many documents the beta prior is worth, from the mean and variance of the hosts' rates and the mean of 1 / n.
+
+    The variance that n draws have by themselves is taken off: under a prior of strength s the rates have the variance
+    m (1 - m) (s h + 1) / (s + 1).  From 1 to 1000, which also stands for rates that differ no more than by such draws.
+    """
+    if not m or m >= 1 or v is None:
+        return 1000.0
+    q = v / (m * (1 - m))
+    return min(1000.0, max(1.0, (1 - q) / (q - h))) if q - h > ROUNDING else 1000.0
+
+
 def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(__host, n_docs, n_failed, host_rate, host_failed): a row for each host."""
     hosts = rules.groupBy("__host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    m, v = (prior.first() or (None, None))[:2]  # one row
-    m, strength = m or 0.0, min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v and m and 0 < m < 1 else 1000.0
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("h"))
+    m, v, h = prior.first() or (None, None, None)  # one row
+    m, strength = m or 0.0, prior_strength(m, v, h)
     shrunk = hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength)))
     return shrunk.select("__host", "n_docs", "n_failed", "host_rate", (F.col("host_rate") > max_rate).alias("host_failed"))
 
@@ -124,8 +138,8 @@ WITH w AS (
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged GROUP BY source
 ), prior AS (
-  SELECT m, CASE WHEN v > 0 AND m > 0 AND m < 1 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s
-  FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts)
+  SELECT m, CASE WHEN m > 0 AND m < 1 AND v / (m * (1 - m)) - h > 1e-9 THEN least(1000.0, greatest(1.0, (1 - v / (m * (1 - m))) / (v / (m * (1 - m)) - h))) ELSE 1000.0 END AS s
+  FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS h FROM hosts)
 ), verdict AS (
   SELECT source, (f + m * s) / (n + s) > 0.5 AS bad FROM hosts, prior
 )

@@ -36,7 +36,9 @@ def test_rules_against_brute_force(spark):
     rates = [failed[s] / hosts[s] for s in hosts]
     m = sum(rates) / len(rates)
     v = sum((x - m) ** 2 for x in rates) / len(rates)
-    strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v and 0 < m < 1 else 1000.0
+    h = sum(1 / n for n in hosts.values()) / len(hosts)
+    q = v / (m * (1 - m)) if 0 < m < 1 else 0
+    strength = min(1000.0, max(1.0, (1 - q) / (q - h))) if q - h > 1e-9 else 1000.0
     for i, _, s, _ in rows:
         rate = (failed[s] + m * strength) / (hosts[s] + strength)
         assert abs(got[i].host_rate - rate) < 1e-9
@@ -46,3 +48,23 @@ def test_rules_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality_rules.judge(df).count() == 0
+
+
+def test_prior_is_found_in_small_hosts():
+    """Rates of hosts with few documents vary by chance; the strength of the prior is found all the same."""
+    rng = random.Random(3)
+    for strength in (2.0, 8.0, 30.0):
+        sizes = [rng.choice([2, 3, 5, 40]) for _ in range(60000)]
+        rates = []
+        for n in sizes:
+            p = rng.betavariate(0.3 * strength, 0.7 * strength)
+            rates.append(sum(rng.random() < p for _ in range(n)) / n)
+        m = sum(rates) / len(rates)
+        v = sum((x - m) ** 2 for x in rates) / len(rates)
+        found = quality_rules.prior_strength(m, v, sum(1 / n for n in sizes) / len(sizes))
+        assert abs(found - strength) < 0.2 * strength
+    assert quality_rules.prior_strength(None, None, None) == quality_rules.prior_strength(0.0, 0.0, 1.0) == quality_rules.prior_strength(1.0, 0.0, 1.0) == 1000.0
+    # one page a host says nothing of the hosts, however m and v are rounded
+    for k in range(1, 100):
+        m = k / 100
+        assert quality_rules.prior_strength(m, m * (1 - m) * (1 + 1e-14), 1.0) == 1000.0
