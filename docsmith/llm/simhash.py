@@ -16,8 +16,10 @@ There are at most 679,121 fingerprints within 4 bits of one, which bounds what a
 group of near copies can bring into a cell, however many documents it has.
 
 ``similar_documents`` is for a similarity that 4 bits are too few for: of 128 bits over five-word shingles, near copies with
-four fifths of their shingles in common differ in about one of seven.  Segments of one bit have themselves as popcounts; a cell
-is such segments drawn at random, in as many grids as a pair at that distance needs to share one.
+four fifths of their shingles in common differ in about one of seven.  The method is the same with other numbers: 64 two-bit
+segments, a block for every three bits of the radius (eight at 23 bits, so that any pair within it is at distance 2 or less in one),
+a fingerprint's own cell and those one step away in each block (about 104 rows), the Manhattan bound over all segments, the exact
+distance.  No pair within the radius is lost.
 
 Edge cases: a null or wordless text has fingerprint zero, which links as any other;
 fewer words than a shingle make one shingle; repeated ids are separate rows; an empty
@@ -40,8 +42,8 @@ from .graph import connected_components
 
 BITS, RADIUS, BLOCKS = 64, 4, 2
 EVEN = np.uint64(0x5555555555555555)
-#: For similar documents: bits of the fingerprint, those that a cell takes at least, and the chance that a pair at the similarity shares no cell.
-WIDE, DRAWN, MISS = 128, 16, 0.02
+#: For similar documents: bits of the fingerprint.
+WIDE = 128
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -129,10 +131,18 @@ def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def within_radius(radius: int):
-    """Whether rows of two tables of fingerprints of several words are within a radius."""
+    """Whether rows of two tables of fingerprints of several words are within a radius: first the Manhattan bound, then the exact distance."""
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= radius
+        bound = np.bitwise_count(embed(x[..., 0]) ^ embed(y[..., 0]))
+        for w in range(1, x.shape[-1]):
+            bound += np.bitwise_count(embed(x[..., w]) ^ embed(y[..., w]))
+        hit = bound <= radius
+        at = np.unravel_index(np.flatnonzero(hit), hit.shape)
+        if len(at[0]):
+            x, y = np.broadcast_arrays(x, y)
+            hit[at] = np.bitwise_count(x[at] ^ y[at]).sum(axis=-1, dtype=np.int64) <= radius
+        return hit
 
     return near
 
@@ -157,10 +167,76 @@ def spanning(x: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
+#: Rows compared at once, and with how many; from so many on the rows of a cell are told apart by the bits of its block.
+LOT, TILE, LARGE = 64, 2048, 3 << 12
+
+
+def forest(x: np.ndarray, near, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``spanning``, for cells of which few are linked: a lot of rows is compared at once with all that is left.
+
+    What a row of the lot is linked to is then searched breadth first to the end, so a dense group costs about its size here too;
+    lots start small and are small again after one, as all their rows would be linked to all of it.  With ``part``, the bits
+    of the cell's block, rows are compared only if at most two of these differ: other links meet in another block.
+    """
+    rest = np.arange(len(x))
+    if part is not None:
+        values, codes = np.unique(part, axis=0, return_inverse=True)
+        rest = np.argsort(codes, kind="stable")
+
+    def around(ones: np.ndarray, others: np.ndarray) -> np.ndarray:
+        if part is None:
+            return others
+        own = values[np.unique(codes[ones])]
+        within = (np.bitwise_count(own[:, None] ^ values[None]).sum(axis=-1) <= 2).any(axis=0)
+        return others[within[codes[others]]]
+
+    def hits(ones: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(others), TILE):
+            hit = near(x[ones][:, None], x[others[k : k + TILE]][None])
+            at = np.flatnonzero(hit)
+            if len(at):
+                i, j = np.divmod(at, hit.shape[1])
+                found.append((i, j + k))
+        i, j = (np.concatenate(y) for y in zip(*found))
+        return i, j
+
+    gone, lot = np.zeros(len(x), bool), LOT // 8
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rest):
+        # the lot comes first among those around it
+        pool = around(rest[:lot], rest)
+        i, j = hits(rest[:lot], pool)
+        i, j = i[j > i], j[j > i]
+        for one in np.unique(i).tolist():
+            if gone[rest[one]]:
+                continue
+            gone[rest[one]] = True
+            found = pool[j[i == one]]
+            found = found[~gone[found]]
+            us.append(found)
+            vs.append(np.full(len(found), rest[one]))
+            gone[found] = True
+            frontier = found
+            while len(frontier):
+                ones, frontier = frontier[:LOT], frontier[LOT:]
+                others = around(ones, rest[~gone[rest]])
+                a, b = hits(ones, others)
+                b, first = np.unique(b, return_index=True)
+                us.append(others[b])
+                vs.append(ones[a[first]])
+                gone[others[b]] = True
+                frontier = np.concatenate([frontier, others[b]])
+        gone[rest[:lot]] = True
+        rest = rest[~gone[rest]]
+        lot = min(2 * lot, LOT) if len(i) <= 8 * lot else LOT // 8
+    return np.concatenate(us), np.concatenate(vs)
+
+
 SMALL = 24
 
 
-def _links(names: list[str], near):
+def _links(names: list[str], near, span):
     """Links of sorted (cell, fingerprint) rows, the fingerprint in one or more words; a cell that goes on in the next batch is held back."""
 
     def search(cell: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -168,7 +244,7 @@ def _links(names: list[str], near):
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.concatenate([first, [len(cell)]]))
         for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-            u, v = spanning(x[a : a + n], near)
+            u, v = span(x[a : a + n], int(cell[a]))
             us.append(u + a)
             vs.append(v + a)
         few = np.flatnonzero(np.repeat(size <= SMALL, size))
@@ -207,7 +283,7 @@ def _links(names: list[str], near):
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(u, v): links that span every component of the distinct fingerprints ``fp``."""
     cells = distinct.select(F.col("fp").alias("a")).mapInArrow(_cells, "cell long, a long")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(["a"], close), "ua long, va long").distinct().toDF("u", "v")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(["a"], close, lambda x, cell: spanning(x, close)), "ua long, va long").distinct().toDF("u", "v")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -253,30 +329,65 @@ def bits_apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _wide_cells(drawn: int, tables: int):
+def wide_blocks(count: int) -> np.ndarray:
+    """The masks of the blocks over the words of a wide fingerprint: every so many segments."""
+    masks = np.zeros((count, WIDE // BITS), np.uint64)
+    for segment in range(WIDE // 2):
+        word, place = divmod(segment, BITS // 2)
+        masks[segment % count, word] |= np.uint64(3 << 2 * place)
+    return masks
+
+
+def _wide_cells(count: int):
+    def told(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        # a cell by a hash of its counts and, in the last byte, its block; cells of one hash are searched as one
+        mix = np.uint64(0x9E3779B97F4A7C15)
+        a = (a ^ (a >> np.uint64(29))) * mix
+        a = (a ^ (a >> np.uint64(32)) ^ b) * mix
+        return ((a ^ (a >> np.uint64(29))) * mix & ~np.uint64(255)) | np.uint64(k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(20240517)
-        chosen = [rng.choice(WIDE, drawn, replace=False) for _ in range(tables)]
-        weights = np.uint64(1) << np.arange(drawn, dtype=np.uint64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1 << 13):
-                part = batch.slice(k, 1 << 13)
-                a, b = (part.column(n).to_numpy() for n in ("a", "b"))
-                bits = np.unpackbits(np.stack([a, b], axis=1).view(np.uint8), axis=1)
-                for table, places in enumerate(chosen):
-                    cell = (bits[:, places].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) * np.uint64(tables) + np.uint64(table)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), part.column("a"), part.column("b")], names=["cell", "a", "b"])
+            for start in range(0, batch.num_rows, 1 << 13):
+                part = batch.slice(start, 1 << 13)
+                a, b = (embed(part.column(n).to_numpy().view(np.uint64)) for n in ("a", "b"))
+                for k, (low, high) in enumerate(wide_blocks(count)):
+                    found = [(rows, told(cell, b[rows] & high, k)) for rows, cell in steps(a, low)]
+                    # the first is the own cell, which is there already
+                    found += [(rows, told(a[rows] & low, cell, k)) for rows, cell in steps(b, high)][1:]
+                    rows, cell = (np.concatenate(y) for y in zip(*found))
+                    rows = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), part.column("a").take(rows), part.column("b").take(rows)], names=["cell", "a", "b"])
 
     return run
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, miss: float = MISS) -> DataFrame:
+def _wide_span(count: int, radius: int, large: int = LARGE):
+    masks, near = wide_blocks(count), within_radius(radius)
+
+    def span(x: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        return forest(x, near, x & masks[cell & 255] if len(x) >= large else None)
+
+    return span
+
+
+def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """(ua, ub, va, vb): links that span every component of the distinct wide fingerprints ``a``, ``b``.
+
+    Of radius // 3 + 1 blocks one holds a distance of 2 or less, as three or more in each would be beyond the radius.
+    """
+    count = radius // 3 + 1
+    cells = distinct.select("a", "b").mapInArrow(_wide_cells(count), "cell long, a long, b long")
+    links = _links(["a", "b"], within_radius(radius), _wide_span(count, radius))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(links, "ua long, ub long, va long, vb long")
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): the least id reachable by links between documents whose word shingles are similar.
 
     Documents link if their wide fingerprints differ in no more bits than texts of that Jaccard similarity
     do on average, and one standard deviation more; five of six pairs at the similarity itself are within, and nearly
-    all that are a few points above.  With the number of fingerprints cells take more bits, one for every doubling
-    beyond 2 ** DRAWN * 256, and there are more grids, so that cells do not grow and the chance to meet stays as it is.
+    all that are a few points above.  The join over the distinct fingerprints loses none of these links.
     """
     apart = bits_apart(similarity)
     radius = int(WIDE * apart + math.sqrt(WIDE * apart * (1 - apart)))
@@ -284,10 +395,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     rows = materialise(rows.mapInArrow(_wide_rows(width), f"__id {kind}, a long, b long"), "wide")
     classes = materialise(rows.groupBy("a", "b").agg(F.min("__id").alias("least")), "classes")
-    drawn = max(DRAWN, math.ceil(math.log2(max(classes.count(), 1) / 256)))
-    tables = math.ceil(math.log(miss) / math.log1p(-((1 - apart) ** drawn)))
-    cells = classes.select("a", "b").mapInArrow(_wide_cells(drawn, tables), "cell long, a long, b long")
-    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(["a", "b"], within_radius(radius)), "ua long, ub long, va long, vb long")
+    found = similar_links(classes, radius)
     node = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     components = materialise(connected_components(found.select(node("ua", "ub").alias("u"), node("va", "vb").alias("v"))), "components")
     own = F.struct("a", "b")

@@ -99,3 +99,61 @@ def test_components_of_long_paths_and_empty_tables(spark):
     assert all(got[i] == 0 for i in range(n + 1)) and got[1001] == got[1000] == 1000
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def wide(x):
+    return int.from_bytes(x, "big")
+
+
+def test_similar_documents_at_the_edge_of_the_radius(spark):
+    # pairs at 15 to 23 of 128 bits, where a join that draws bits at random loses some
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(2000)]
+    texts = ["", None, "one", " One\n"]
+    while len(texts) < 1000:
+        words = rng.choices(vocabulary, k=120)
+        other = list(words)
+        for at in rng.sample(range(120), rng.randint(2, 5)):
+            other[at] = rng.choice(vocabulary)
+        one, two = (wide(simhash.wide_fingerprint(" ".join(w).encode(), 5)) for w in (words, other))
+        if 15 <= (one ^ two).bit_count() <= 25:
+            texts += [" ".join(words), " ".join(other)]
+    fps = [wide(simhash.wide_fingerprint((t or "").encode(), 5)) for t in texts]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 23]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == components(len(fps), links)
+
+
+def test_wide_links_of_planted_clusters(spark):
+    rng = random.Random(22)
+
+    def moved(x, bits):
+        for b in rng.sample(range(128), bits):
+            x ^= 1 << b
+        return x
+
+    fps = {0, rng.getrandbits(128)}
+    for _ in range(400):
+        x = rng.getrandbits(128)
+        fps |= {x, moved(x, rng.randint(18, 25))}
+    # a path of steps at the radius, and a dense group
+    x = y = rng.getrandbits(128)
+    for _ in range(60):
+        x = moved(x, 23)
+        fps |= {x, *(moved(y, rng.randint(1, 14)) for _ in range(6))}
+    fps = rng.sample(sorted(fps), len(fps))
+    rows = np.array([[x & (1 << 64) - 1, x >> 64] for x in fps], np.uint64)
+    at = {tuple(r): i for i, r in enumerate(rows.view(np.int64).tolist())}
+    apart = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=-1, dtype=np.int64)
+    want = components(len(fps), [(i, j) for i, j in np.argwhere(apart <= 23).tolist() if j < i])
+    df = spark.createDataFrame(rows.view(np.int64).tolist(), "a long, b long").repartition(5)
+    links = [(at[r.ua, r.ub], at[r.va, r.vb]) for r in simhash.similar_links(df, 23).collect()]
+    assert all(apart[i, j] <= 23 for i, j in links)
+    assert components(len(fps), links) == want
+    # the same where all cells count as large
+    cells = simhash.pa.Table.from_batches(simhash._wide_cells(8)([simhash.pa.record_batch({"a": rows[:, 0].view(np.int64), "b": rows[:, 1].view(np.int64)})])).sort_by("cell")
+    found = simhash._links(["a", "b"], simhash.within_radius(23), simhash._wide_span(8, 23, 1))(cells.to_batches())
+    links = [(at[r["ua"], r["ub"]], at[r["va"], r["vb"]]) for batch in found for r in batch.to_pylist()]
+    assert all(apart[i, j] <= 23 for i, j in links)
+    assert components(len(fps), links) == want
