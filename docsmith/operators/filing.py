@@ -72,15 +72,19 @@ def candidates(filings: DataFrame) -> DataFrame:
 NUMBERED = r"(?s) \([0-9]+\)(\.[^./]*)?\z"
 
 
+#: An extension: from the last dot of a name on, unless the name starts with it.  The look behind takes one character; of many, it would read the name anew at every place.
+EXTENSION = r"(?s)(?<=[^/])(\.[^./]*)\z"
+
+
 def _numbered(dest: Column, n: Column) -> Column:
     """dest with `` (n)`` before its extension."""
-    return F.when(n == 1, dest).otherwise(F.concat(F.regexp_replace(dest, r"(?s)(?<=[^/]{1,512})\.[^./]*\z", ""), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract(dest, r"(?s)(?<=[^/]{1,512})(\.[^./]*)\z", 1)))
+    return F.when(n == 1, dest).otherwise(F.concat(F.regexp_replace(dest, EXTENSION, ""), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract(dest, EXTENSION, 1)))
 
 
 def _family(dest: Column) -> Column:
     """What claims that can meet have in common: the path without any numbers at its end."""
-    extension = F.regexp_extract(dest, r"(?s)(?<=[^/]{1,512})(\.[^./]*)\z", 1)
-    return F.concat(F.regexp_replace(F.regexp_replace(dest, r"(?s)(?<=[^/]{1,512})\.[^./]*\z", ""), r"(?:(?: \([0-9]+\))+)\z", ""), extension)
+    bare = F.concat(F.regexp_replace(F.regexp_replace(dest, EXTENSION, ""), r"(?:(?: \([0-9]+\))+)\z", ""), F.regexp_extract(dest, EXTENSION, 1))
+    return F.when(dest.rlike(NUMBERED), bare).otherwise(dest)
 
 
 def settle(claims: list[str]) -> list[str]:
@@ -128,6 +132,14 @@ def assign_paths(filings: DataFrame) -> DataFrame:
 RANGES = 64
 
 
+def _place(x: Column, bounds: list[str], first: int = 0) -> Column:
+    """How many of the sorted bounds are at most x, and first more: a search by halves."""
+    if not bounds:
+        return F.lit(first)
+    k = len(bounds) // 2
+    return F.when(x >= bounds[k], _place(x, bounds[k + 1 :], first + k + 1)).otherwise(_place(x, bounds[:k], first))
+
+
 def ranked(rows: DataFrame, by: str) -> DataFrame:
     """Rows with __rank, 1, 2, ... within equal ``by`` in the order of paths.
 
@@ -141,7 +153,7 @@ def ranked(rows: DataFrame, by: str) -> DataFrame:
     place = F.lit(0)
     if bounds:
         own = F.replace("path", F.lit("/"), F.lit("\x00"))
-        place = let(own, lambda x: F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= x)))
+        place = let(own, lambda x: _place(x, bounds))
     salted = rows.withColumn("__range", place)
     inside = Window.partitionBy(by, "__range").orderBy(F.split("path", "/"))
     counts = salted.groupBy(by, "__range").agg(F.count("*").alias("__n"))

@@ -315,7 +315,7 @@ numbered AS (SELECT path, claim, row_number() OVER (PARTITION BY claim ORDER BY
 
 @query(_PATHS + " SELECT path, CASE WHEN n = 1 THEN claim ELSE regexp_replace(claim, '\\.pdf$', '') || ' (' || n || ').pdf' END AS dest FROM numbered")
 def q_assign_paths(spark, sf):
-    return filing.assign_paths(rel.digests(spark, sf).withColumn("folder", F.col("game_system"))).select("path", "dest")
+    return filing.assign_paths(rel.digests(spark, sf).select("path", "title", F.col("game_system").alias("folder"))).select("path", "dest")
 
 
 # The digest log

@@ -1,4 +1,7 @@
+import bisect
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -114,6 +117,33 @@ def test_paths_never_collide(spark):
     assert [got[p] for p, _, _ in rows] == want and len(set(want)) == len(want)
 
 
+def test_names_are_read_once(spark):
+    # an extension that looked far behind at every place took more than the ten seconds for these names
+    stems = ["a b", "a.b", ".a", "a", "a (2)", "a.b (3) (4)", "(5)"]
+    long = ["x" * 100_000 + t for t in ("", " (2)")] * 8
+    rows = [(f"d.e/{t}{e}", f"d.e/{t} (7){e}") for t in stems + long for e in (".pdf", ".x (1)")]
+    rows += [("d.e/.a", "d.e/.a (7)"), ("a.b", "a (7).b"), ("d/..b", "d/. (7).b"), ("d.e/f", "d.e/f (7)"), ("d.e/f (3)", "d.e/f (3) (7)")]
+    frame = spark.createDataFrame(rows, "dest string, want string").repartition(4)
+    began = time.perf_counter()
+    got = frame.select("dest", "want", filing._numbered(F.col("dest"), F.lit(7)).alias("numbered"), filing._family(F.col("dest")).alias("family")).collect()
+    assert time.perf_counter() - began < 10
+    for r in got:
+        folder, slash, name = r.dest.rpartition("/")
+        dot = name.rfind(".")
+        stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+        assert r.numbered == r.want and r.family == folder + slash + re.sub(r"(?: \([0-9]+\))+$", "", stem) + ext
+
+
+def test_places_among_bounds(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 2, 5, 63):
+        bounds = sorted({"".join(rng.choices("ab\x00é\U0001f600\uffee", k=rng.randint(1, 3))) for _ in range(n)}, key=str.encode)
+        values = bounds + ["", "z", "a", "\U0001f600", "\uffee\uffee"]
+        got = spark.createDataFrame([(v,) for v in values], "v string").select("v", filing._place(F.col("v"), bounds).alias("k")).collect()
+        assert all(r.k == bisect.bisect_right([b.encode() for b in bounds], r.v.encode()) for r in got)
+    assert spark.range(1).select(filing._place(F.lit(None).cast("string"), ["a", "b"]).alias("k")).first().k == 0
+
+
 def test_cache_log(spark):
     log = spark.createDataFrame([("h", 1, "a"), ("h", 3, "c"), ("h", 2, "b"), ("k", 1, "z")], "hash string, seq long, title string")
     assert {r.hash: r.title for r in cachelog.last_wins(log).collect()} == {"h": "c", "k": "z"}
