@@ -18,7 +18,8 @@ def let(value: Column, body) -> Column:
 
 def collapse(x: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(x, WS + "+", " "), F.lit(" "))
+    # a lone blank, as most are, is left as it is and need not be found
+    return F.btrim(F.regexp_replace(x, rf" {WS}+|[{WS}&&[^ ]]{WS}*", " "), F.lit(" "))
 
 
 def strip(x: Column) -> Column:
@@ -46,17 +47,26 @@ def condense(x: Column, limit: int) -> Column:
 
 def ink(x: Column) -> Column:
     """Text without any white space."""
-    return F.regexp_replace(x, WS + "+", "")
+    # blanks, which are most of it, go bytewise
+    return F.regexp_replace(F.replace(x, F.lit(" "), F.lit("")), WS + "+", "")
 
 
 def scanned(condensed: Column, threshold: int) -> Column:
     """So little text that a document must be a scan."""
-    return F.length(ink(condensed)) < threshold
+    return little_ink(ink(condensed), threshold)
+
+
+def little_ink(inked: Column, threshold: int) -> Column:
+    return F.length(inked) < threshold
 
 
 def text_key(x: Column, min_chars: int) -> Column:
     """A hash of the words whatever their spacing; null where there are too few characters."""
-    return let(ink(x), lambda s: F.when(F.length(s) >= min_chars, F.sha2(s, 256)))
+    return let(ink(x), lambda s: ink_key(s, min_chars))
+
+
+def ink_key(inked: Column, min_chars: int) -> Column:
+    return F.when(F.length(inked) >= min_chars, F.sha2(inked, 256))
 
 
 def base_name(path: Column) -> Column:
@@ -70,7 +80,7 @@ def extension(path: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(base_name(path), r"(?s)(?<=\A.{1,4096})\.[^.]*\z", "")
+    return F.regexp_replace(base_name(path), r"(?s)(?<!\A)\.[^.]*\z", "")
 
 
 def title_from_filename(name: Column) -> Column:

@@ -38,11 +38,14 @@ def complete(leaves: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def fold_thin(filings: DataFrame, min_docs: int = 3) -> DataFrame:
-    """Filings whose folder has too few documents move to its parent, once; top folders and the unsorted stay."""
+    """Filings whose folder has too few documents move to its parent, once; top folders and the unsorted stay.
+
+    The counts, a row for each folder in use, are broadcast: folders are few, and a join that deals filings out by folder puts nearly all in a few tasks.
+    """
     if min_docs <= 1:
         return filings
     counts = filings.groupBy("folder").agg(F.count("*").alias("__n")).withColumnRenamed("folder", "__folder")
-    joined = filings.join(counts, F.col("folder") == F.col("__folder"))
+    joined = filings.join(F.broadcast(counts), F.col("folder") == F.col("__folder"))
     moved = (F.col("__n") < min_docs) & (F.col("folder") != UNSORTED) & F.contains("folder", F.lit("/"))
     reason = F.concat(F.col("reason"), F.lit("; folded up from thin folder "), quoted(F.col("folder")))
     out = joined.withColumn("reason", F.when(moved, reason).otherwise(F.col("reason")))

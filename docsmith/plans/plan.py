@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import condense, scanned, text_key
+from ..functions.text import condense, ink, ink_key, let, little_ink
 from ..operators import cachelog, catalog, dedupe, filing, report, taxonomy
 from ..sources.shared import settled
 from .backend import Backend, Rules
@@ -38,7 +38,9 @@ class Plan:
 def probe(docs: DataFrame, config: Config) -> DataFrame:
     """Documents with their text condensed, a key of the whole text, and whether they are scans."""
     text = condense(F.coalesce("text", F.lit("")), config.extract.max_chars)
-    return docs.withColumn("text_key", text_key(F.col("text"), config.dedupe.min_text_chars)).withColumn("scanned", scanned(F.col("text"), config.extract.scanned_threshold)).withColumn("text", text)
+    about = let(ink(F.col("text")), lambda s: F.struct(ink_key(s, config.dedupe.min_text_chars).alias("key"), little_ink(s, config.extract.scanned_threshold).alias("scanned")))
+    probed = docs.withColumn("__about", about).withColumn("text", text)
+    return probed.withColumn("text_key", F.col("__about.key")).withColumn("scanned", F.col("__about.scanned")).drop("__about")
 
 
 def build_plan(docs: DataFrame, config: Config | None = None, backend: Backend | None = None, cache: DataFrame | None = None, limit: int | None = None) -> Plan:
@@ -49,11 +51,15 @@ def build_plan(docs: DataFrame, config: Config | None = None, backend: Backend |
     condensed and hashed where they are read; joins move keys.
     """
     config, backend = config or Config(), backend or Rules()
-    duplicates = dedupe.exact_copies(docs.select("path", "hash"))
-    unique = dedupe.exact_dedup(probe(docs, config))
+    # hashes may be made of the texts, so they are kept for all that compares documents
+    keys = settled(docs.select("path", "hash"), "keys")
+    duplicates = dedupe.exact_copies(keys)
+    first = dedupe.exact_dedup(keys)
     if limit is not None:
-        first = dedupe.exact_dedup(docs.select("path", "hash")).orderBy(F.split("path", "/")).limit(limit)
-        unique = unique.join(first.select("path"), "path", "left_semi")
+        first = first.orderBy(F.split("path", "/")).limit(limit)
+    first = settled(first, "first")
+    probed = probe(docs, config)
+    unique = probed.join(first.select("path"), "path", "left_semi").select(*probed.columns)
     pending, known = unique, None
     if cache is not None:
         latest = cachelog.rekey(cachelog.last_wins(cache), unique)
@@ -65,7 +71,7 @@ def build_plan(docs: DataFrame, config: Config | None = None, backend: Backend |
     digests = described
     if known is not None:
         digests = digests.unionByName(known.select("hash", *fields).join(unique.select(*about), "hash").select(*about, *fields))
-    unfiled = settled(unique.select("hash", "path").join(digests.select("hash"), "hash", "left_anti").select("path", F.lit("no answer").alias("reason")), "unfiled")
+    unfiled = settled(first.select("hash", "path").join(digests.select("hash"), "hash", "left_anti").select("path", F.lit("no answer").alias("reason")), "unfiled")
     digests = catalog.finish(digests, config.systems.aliases)
     if config.dedupe.near_duplicates:
         digests, folded = dedupe.near_dedup(digests, config.dedupe.size_tolerance, config.dedupe.min_text_chars)

@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsmith.functions import tables
 from docsmith.operators import dedupe, outline
@@ -100,6 +101,21 @@ def test_whole_plan(spark):
     assert '"mode": "copy"' in plan_document(plan, "in", "out", "copy").first().plan
 
 
+def test_plan_makes_hashes_twice_at_most(spark):
+    # once for all comparisons of documents, once where texts are condensed
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def hashed(x):
+        made.add(1)
+        return x
+
+    d = docs(spark)
+    n, plan = d.count(), build_plan(d.withColumn("hash", hashed("hash")))
+    assert plan.assignments.count() == 7 and plan.duplicates.count() == 1 and plan.unfiled.count() == 0
+    assert made.value <= 2 * n
+
+
 def test_plan_with_cache_and_model(spark):
     cache = spark.createDataFrame([("h1", "in/adv1.pdf", 1, "Known", "Pathfinder", "adventure", "unknown", "unknown", "unknown", ["t"], "s", 0.9)], "hash string, path string, seq long, title string, game_system string, doc_type string, setting string, level_range string, publisher string, topics array<string>, summary string, confidence float")
 

@@ -144,6 +144,20 @@ def test_places_among_bounds(spark):
     assert spark.range(1).select(filing._place(F.lit(None).cast("string"), ["a", "b"]).alias("k")).first().k == 0
 
 
+def test_folding_deals_nothing_out_by_folder(spark):
+    rows = [(f"p{i}", "A/B" if i else "A/C", 0.9, "r") for i in range(400)]
+    d = spark.createDataFrame(rows, "path string, folder string, filing_confidence float, reason string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folded = taxonomy.fold_thin(d)
+        assert "SortMergeJoin" not in folded._jdf.queryExecution().executedPlan().toString()
+        got = {r.path: (r.folder, r.reason) for r in folded.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 400 and got["p0"] == ("A", 'r; folded up from thin folder "A/C"') and all(got[f"p{i}"] == ("A/B", "r") for i in range(1, 400))
+
+
 def test_cache_log(spark):
     log = spark.createDataFrame([("h", 1, "a"), ("h", 3, "c"), ("h", 2, "b"), ("k", 1, "z")], "hash string, seq long, title string")
     assert {r.hash: r.title for r in cachelog.last_wins(log).collect()} == {"h": "c", "k": "z"}

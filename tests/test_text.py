@@ -33,6 +33,21 @@ def test_condense(spark):
     assert values(spark, raws, text.condense(F.col("x"), 7)) == [plain_condense(r, 7) for r in raws]
 
 
+def test_white_space_however_mixed(spark):
+    rng = random.Random(11)
+    spaces = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    raws = ["", " ", "  ", "\n ", " \n"] + ["".join(rng.choices(spaces + " " * 20 + "aé\u200b\U0001f600", k=rng.randint(1, 12))) for _ in range(600)]
+    runs = [[w for w in "".join(" " if c in spaces else c for c in r).split(" ") if w] for r in raws]
+    assert values(spark, raws, text.collapse(F.col("x"))) == [" ".join(r) for r in runs]
+    assert values(spark, raws, text.ink(F.col("x"))) == ["".join(r) for r in runs]
+
+
+def test_stem_of_long_names(spark):
+    # looking behind for the start of the name at every place gave up at 4096 characters
+    names = ["a/" + "x" * n + ".pdf" for n in (1, 4000, 5000, 200_000)] + ["a/.pdf", "a.b/c", "x.y.z", "a/..b"]
+    assert values(spark, names, text.stem(F.col("x"))) == ["x", "x" * 4000, "x" * 5000, "x" * 200_000, ".pdf", "c", "x.y", "."]
+
+
 def test_text_key(spark):
     rng = random.Random(9)
     prose = " ".join("".join(rng.choices("aeioustrn", k=5)) for _ in range(90))
